@@ -1,4 +1,6 @@
 """Named queries over the supplied tables, family by family, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import history
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "history"]
