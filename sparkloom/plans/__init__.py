@@ -1,6 +1,6 @@
 """Named queries over the supplied tables, family by family, and their SQL."""
 
-from . import history
+from . import graph, history
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "history"]
+__all__ = ["ORACLES", "QUERIES", "graph", "history"]
