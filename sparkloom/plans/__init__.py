@@ -1,6 +1,6 @@
 """Named queries over the supplied tables, family by family, and their SQL."""
 
-from . import graph, history
+from . import graph, history, retrieval
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "graph", "history"]
+__all__ = ["ORACLES", "QUERIES", "graph", "history", "retrieval"]

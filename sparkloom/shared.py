@@ -97,23 +97,27 @@ def blank_to_null(c: Column) -> Column:
     return F.when(F.length(F.trim(c)) > 0, c)
 
 
-def positions(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
-    """``df`` with ``name``: the 0-based place of each row among those of its key, under a total ``order``.
+def running_sum(df: DataFrame, keys: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` (null counts 0) over the rows of the key up to this one, under a total ``order``.
 
-    Rows are range-partitioned by key and order, so a key of any size is spread over many tasks. Places are counted
-    inside (key, partition) groups; a partition border cuts at most one key, so the offsets of keys that span borders
-    are fewer than the partitions and may be broadcast. The range layout is checkpointed once: every later read and
-    every recomputation then sees the same borders.
+    Rows are range-partitioned by key and order, so a key of any size is spread over many tasks. Sums are made inside
+    (key, partition) groups; a partition border cuts at most one key, so the offsets of keys that span borders are fewer
+    than the partitions and may be broadcast. The range layout is written once: every later read and every recomputation
+    then sees the same borders.
     """
     of_key = [F.col(k) for k in keys]
-    laid = durable(df.repartitionByRange(*of_key, *order).withColumn("__pid", F.spark_partition_id()))
-    counts = laid.groupBy(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__pid").alias("__part")).agg(F.count("*").alias("__n"))
+    laid = durable(df.withColumn("__v", F.coalesce(value, F.lit(0))).repartitionByRange(*of_key, *order).withColumn("__pid", F.spark_partition_id()))
+    sums = laid.groupBy(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__pid").alias("__part")).agg(F.sum("__v").alias("__s"))
     before = W.partitionBy(*[f"__{k}" for k in keys]).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.withColumn("__before", F.sum("__n").over(before)).where("__before > 0").drop("__n")
+    offsets = sums.withColumn("__before", F.sum("__s").over(before)).where("__before IS NOT NULL").drop("__s")
     same = F.col("__pid") == F.col("__part")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
     joined = laid.join(F.broadcast(offsets), same, "left")
-    inside = F.row_number().over(W.partitionBy(*keys, "__pid").orderBy(*order))
-    placed = joined.withColumn(name, inside - 1 + F.coalesce(F.col("__before"), F.lit(0)))
-    return placed.select(*df.columns, name)
+    inside = F.sum("__v").over(W.partitionBy(*keys, "__pid").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return joined.withColumn(name, inside + F.coalesce(F.col("__before"), F.lit(0))).select(*df.columns, name)
+
+
+def positions(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """``df`` with ``name``: the 0-based place of each row among those of its key, under a total ``order``; see running_sum."""
+    return running_sum(df, keys, order, F.lit(1).cast("bigint"), name).withColumn(name, F.col(name) - 1)
