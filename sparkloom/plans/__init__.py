@@ -1,6 +1,6 @@
 """Named queries over the supplied tables, family by family, and their SQL."""
 
-from . import graph, history, retrieval
+from . import graph, history, learning, retrieval, sessions, tables
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "graph", "history", "retrieval"]
+__all__ = ["ORACLES", "QUERIES", "graph", "history", "learning", "retrieval", "sessions", "tables"]
