@@ -37,9 +37,9 @@ def latest_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def join_stats(rows: DataFrame, stats: DataFrame, keys: list[str], weight: str, spread: list[str]) -> DataFrame:
-    """Inner join of many rows with the one stats row of their key, safe for hot keys.
+    """Inner join of many rows with the stats of their key, safe for hot keys.
 
-    ``weight`` is the column of ``stats`` with the number of rows of the key. The stats are written once and their size is
+    ``weight`` is the column of ``stats`` with the number of rows of the key, the same in all its stats rows. The stats are written once and their size is
     checked: up to BROADCAST_ROWS rows are broadcast, so ``rows`` are not shuffled. Beyond that, keys above 1/HOT_PARTS of
     the total weight (fewer than HOT_PARTS by arithmetic) are spread over SALTS pieces chosen by the hash of the ``spread``
     columns of ``rows``, and their stats row is copied SALTS times. Rows with a null key are dropped.
@@ -51,7 +51,7 @@ def join_stats(rows: DataFrame, stats: DataFrame, keys: list[str], weight: str,
     if most * HOT_PARTS <= total:
         return rows.join(kept, keys)
     is_hot = F.col(weight) * HOT_PARTS > total
-    hot = kept.where(is_hot).select(*keys, F.lit(True).alias("__hot"))
+    hot = kept.where(is_hot).select(*keys, F.lit(True).alias("__hot")).distinct()
     salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     left = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", salt).drop("__hot")
