@@ -48,7 +48,7 @@ def join_stats(rows: DataFrame, stats: DataFrame, keys: list[str], weight: str,
     n, total, most = kept.agg(F.count("*"), F.sum(weight), F.max(weight)).first()
     if n <= BROADCAST_ROWS:
         return rows.join(F.broadcast(kept), keys)
-    if most * HOT_PARTS <= total:
+    if not total or most * HOT_PARTS <= total:
         return rows.join(kept, keys)
     is_hot = F.col(weight) * HOT_PARTS > total
     hot = kept.where(is_hot).select(*keys, F.lit(True).alias("__hot")).distinct()
