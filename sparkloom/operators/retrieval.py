@@ -155,7 +155,7 @@ def rank_symbols(body: DataFrame, name: DataFrame, symbols: DataFrame, k: int =
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = BLOCK_VECTORS) -> DataFrame:
-    """(query, id, score, rank): the k vectors of greatest inner product for each query vector; id and query are bigint.
+    """(query, id, score, rank): the k vectors of greatest inner product for each query vector.
 
     Query vectors go to the workers in blocks of bounded size; each batch of vectors meets a block as a matrix product and
     hands on its own best k, so a query gathers k rows per batch. Vectors that are null, of another length or not finite
@@ -163,6 +163,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = BLOCK_
     """
     ship(vectors.sparkSession)
     spark = vectors.sparkSession
+    q_kind, id_kind = queries.schema["query"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
     n = queries.count()
     parts = max(1, -(-n // block))
     numbered = durable(queries.select("query", "embedding").withColumn("__b", F.pmod(F.xxhash64("query"), F.lit(parts))))
@@ -181,13 +182,14 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = BLOCK_
                     continue
                 key = pdf.id.to_numpy()
                 s = q @ np.stack(pdf.embedding.to_numpy()).astype(np.float64).T
-                order = np.lexsort((np.broadcast_to(key, s.shape), -s), axis=1)[:, :k]
+                place = np.argsort(np.argsort(key, kind="stable"), kind="stable")
+                order = np.lexsort((np.broadcast_to(place, s.shape), -s), axis=1)[:, :k]
                 yield pd.DataFrame({"query": np.repeat(ids, order.shape[1]), "id": key[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
 
-        part = vectors.select("id", "embedding").mapInPandas(best, "query bigint, id bigint, score double")
+        part = vectors.select("id", "embedding").mapInPandas(best, f"query {q_kind}, id {id_kind}, score double")
         found = part if found is None else found.unionByName(part)
     if found is None:
-        return spark.createDataFrame([], "query bigint, id bigint, score double, rank int")
+        return spark.createDataFrame([], f"query {q_kind}, id {id_kind}, score double, rank int")
     return top_k(found, k, ["query"], [F.col("score").desc(), F.col("id")])
 
 
