@@ -199,9 +199,9 @@ def _rust(text: str) -> dict[str, list]:
     imports += [(f"mod::{m}", [], False, False) for m in re.findall(r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+(\w+)\s*;", plain)]
     inside = [(m.start(), _end(plain, m.start())) for m in re.finditer(r"(?m)^\s*impl\b", plain)]
     spans = []
-    for m in re.finditer(r"(?m)^\s*(pub(?:\([^)]*\))?\s+)?(?:async\s+|const\s+|unsafe\s+)*(fn|struct|enum|trait)\s+(\w+)", plain):
+    for m in re.finditer(r"(?m)(?:^|[{};])\s*(pub(?:\([^)]*\))?\s+)?(?:async\s+|const\s+|unsafe\s+)*(fn|struct|enum|trait)\s+(\w+)", plain):
         kind = {"fn": "function"}.get(m[2], m[2])
-        at = m.start() + len(m[0]) - len(m[0].lstrip())
+        at = m.start(1) if m[1] else m.start(2)
         if kind == "function" and any(a < at < b for a, b in inside):
             kind = "method"
         if len(m[3]) >= 2 and not m[3].startswith("_"):

@@ -45,7 +45,7 @@ def config_texts(spark: SparkSession, root: str) -> DataFrame:
 
 def constraints(configs: DataFrame) -> DataFrame:
     """(path, tool, key, value) facts of known configuration files; files that do not parse give nothing."""
-    text = F.regexp_replace(F.regexp_replace("text", r"(?m)^\s*//.*$", ""), r",(\s*[}\]])", "$1")
+    text = F.regexp_replace(F.regexp_replace("text", r"(?m)(^|\s)//.*$", ""), r",(\s*[}\]])", "$1")
     json = {
         "tsconfig.json": ("tsconfig", {k: f"$.compilerOptions.{k}" for k in ("strict", "target", "module", "baseUrl", "jsx", "noUnusedLocals", "noImplicitAny")}),
         "biome.json": ("biome", {"indentStyle": "$.formatter.indentStyle", "lineWidth": "$.formatter.lineWidth", "quoteStyle": "$.javascript.formatter.quoteStyle", "semicolons": "$.javascript.formatter.semicolons"}),

@@ -44,7 +44,7 @@ def blame(spark: SparkSession, path: str, reference_seconds: int) -> DataFrame:
     A commit's author time is given once and holds for all its lines; time 0 means not yet committed and counts as 0 days.
     """
     ship(spark)
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

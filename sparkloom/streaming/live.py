@@ -25,11 +25,11 @@ def activity(events: DataFrame, at: str, kind: str, width: str = "1 day", late:
     return events.withWatermark(at, late).groupBy(F.window(at, width).alias("w"), kind).agg(F.count("*").alias("events")).select(F.col("w.start").alias("window"), kind, "events")
 
 
-def limit_calls(calls: DataFrame, streak: int = STREAK, budget: int = BUDGET, idle_ms: int = 3_600_000) -> DataFrame:
+def limit_calls(calls: DataFrame, streak: int = STREAK, budget: int = BUDGET, idle_ms: int = 3_600_000, late: str = "1 hour") -> DataFrame:
     """``session_id, call_id, blocked`` for a stream of (session_id, call_id, at, command, is_edit).
 
     State per session is four small values: last command, its streak, the number of calls and the time of last sight. An
-    edit ends a streak. A session idle for ``idle_ms`` is forgotten. Calls of one trigger are taken in order of (at, call_id).
+    edit ends a streak. A session that in event time is idle for ``idle_ms`` beyond the lateness is forgotten. Calls of one trigger are taken in order of (at, call_id).
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -37,7 +37,7 @@ def limit_calls(calls: DataFrame, streak: int = STREAK, budget: int = BUDGET, id
             state.remove()
             return
         last, run, n = state.get if state.exists else ("", 0, 0)
-        rows = []
+        rows, seen = [], 0
         for _, c in pd.concat(list(frames)).sort_values(["at", "call_id"]).iterrows():
             edit = bool(c.is_edit)
             run = 0 if edit else run + 1 if c.command == last and run else 1
@@ -45,11 +45,12 @@ def limit_calls(calls: DataFrame, streak: int = STREAK, budget: int = BUDGET, id
             blocked = "budget" if n >= budget else "streak" if not edit and run >= streak else None
             n += 1
             rows.append((key[0], c.call_id, blocked))
+            seen = max(seen, int(c["at"].timestamp() * 1000))
         state.update((last, run, n))
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame(rows, columns=["session_id", "call_id", "blocked"])
 
-    return calls.groupBy("session_id").applyInPandasWithState(step, "session_id string, call_id bigint, blocked string", "last string, run bigint, n bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return calls.withWatermark("at", late).groupBy("session_id").applyInPandasWithState(step, "session_id string, call_id bigint, blocked string", "last string, run bigint, n bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def refresh(files: DataFrame, known: Callable[[], DataFrame], apply: Callable[[DataFrame, int], None], checkpoint: str) -> DataStreamWriter:
