@@ -20,14 +20,15 @@ def closure(edges: DataFrame, starts: DataFrame | None = None, depth: int = 5, b
     otherwise only its least depth stays.
     """
     a, b = ("dst", "src") if backwards else ("src", "dst")
-    e = real(edges).select("graph_id", F.col(a).alias("from"), F.col(b).alias("node")).distinct()
+    e = durable(real(edges).select("graph_id", F.col(a).alias("from"), F.col(b).alias("node")).distinct())
     first = e.withColumnRenamed("from", "start")
     if starts is not None:
         first = first.join(starts.select("graph_id", "start").distinct(), ["graph_id", "start"], "left_semi")
     level = first.select("graph_id", "start", "node").distinct()
     hops = [level.withColumn("depth", F.lit(1))]
     for k in range(2, depth + 1):
-        level = level.withColumnRenamed("node", "from").join(e, ["graph_id", "from"]).select("graph_id", "start", "node").distinct()
+        # written, so that hop k is one join and not k of them
+        level = durable(level.withColumnRenamed("node", "from").join(e, ["graph_id", "from"]).select("graph_id", "start", "node").distinct())
         hops.append(level.withColumn("depth", F.lit(k)))
     out = hops[0]
     for h in hops[1:]:
