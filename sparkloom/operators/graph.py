@@ -131,7 +131,7 @@ def betweenness_by_source(edges: DataFrame, share: float = 1.0, seed: int = 1) -
     parts = lots.groupBy("graph_id", "lot").cogroup(copies.groupBy("graph_id", "lot")).applyInPandas(run, "graph_id string, node string, part double")
     summed = parts.groupBy("graph_id", "node").agg(F.sum("part").alias("total"))
     top = summed.groupBy("graph_id").agg(F.max("total").alias("top"))
-    return summed.join(F.broadcast(top), "graph_id").select("graph_id", "node", F.when(F.col("top") > 0, F.col("total") / F.col("top")).otherwise(0.0).alias("betweenness"))
+    return summed.join(top, "graph_id").select("graph_id", "node", F.when(F.col("top") > 0, F.col("total") / F.col("top")).otherwise(0.0).alias("betweenness"))
 
 
 def strong_components(edges: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def decay_constant(commits: Column, window_days: int = 90) -> Column:
 def dated(commits: DataFrame) -> DataFrame:
     """Commits with their age in days before the latest of their graph, and the number of commits of the graph."""
     last = commits.groupBy("graph_id").agg(F.max("ts").alias("last"), F.count("*").alias("n_commits"))
-    return commits.join(F.broadcast(last), "graph_id").withColumn("age", age_days(F.col("ts"), F.col("last"))).drop("last")
+    return commits.join(last, "graph_id").withColumn("age", age_days(F.col("ts"), F.col("last"))).drop("last")
 
 
 def hot_files(commits: DataFrame, top: int = 15) -> DataFrame:
@@ -80,7 +80,7 @@ def change_coupling(commits: DataFrame, window_days: int = 90, least_jaccard: fl
     weight = 1 / (size - 1) * F.exp(-F.col("age") / decay_constant(F.col("n_commits"), window_days)) * noise_discount(F.col("message"))
     pairs = used.select("graph_id", "age", weight.alias("w"), F.explode(pairs_of(F.col("files"))).alias("p"))
     together = pairs.groupBy("graph_id", F.col("p.a").alias("file_a"), F.col("p.b").alias("file_b")).agg(F.count("*").alias("co_changes"), F.sum("w").alias("weight"), F.min("age").alias("age"))
-    together = together.join(F.broadcast(wide), "graph_id").where(F.col("co_changes") >= F.when(F.col("wide") > ACTIVE, LEAST_ACTIVE).otherwise(LEAST_QUIET))
+    together = together.join(wide, "graph_id").where(F.col("co_changes") >= F.when(F.col("wide") > ACTIVE, LEAST_ACTIVE).otherwise(LEAST_QUIET))
     single = used.select("graph_id", F.explode("files").alias("file")).groupBy("graph_id", "file").agg(F.count("*").alias("n"))
     of = lambda x: single.select("graph_id", F.col("file").alias(f"file_{x}"), F.col("n").alias(f"n_{x}"))
     c = together.join(of("a"), ["graph_id", "file_a"]).join(of("b"), ["graph_id", "file_b"])
@@ -132,8 +132,8 @@ def edge_priors(edges: DataFrame, commits: DataFrame, order: list[str]) -> DataF
     with_dst = touched.join(by_src.select("graph_id", "i", F.col("src").alias("dst"), F.lit(1).alias("hit")), ["graph_id", "i", "dst"], "left")
     w = F.pow(F.lit(EWMA), F.col("n") - 1 - F.col("i") - F.col("r"))
     hit = F.coalesce(F.col("hit"), F.lit(0))
-    sums = with_dst.join(F.broadcast(total), "graph_id").groupBy("graph_id", "src", "dst").agg(F.count("*").alias("m"), F.sum(w * hit).alias("a"), F.sum(w * (1 - hit)).alias("b"))
-    start = edges.join(F.broadcast(total), "graph_id", "left").join(sums, ["graph_id", "src", "dst"], "left")
+    sums = with_dst.join(total, "graph_id").groupBy("graph_id", "src", "dst").agg(F.count("*").alias("m"), F.sum(w * hit).alias("a"), F.sum(w * (1 - hit)).alias("b"))
+    start = edges.join(total, "graph_id", "left").join(sums, ["graph_id", "src", "dst"], "left")
     fade = F.pow(F.lit(EWMA), F.coalesce(F.col("n"), F.lit(0)) - F.coalesce(F.col("m"), F.lit(0)))
     alpha = F.greatest(F.col("start") * STRENGTH * fade + F.coalesce("a", F.lit(0.0)), F.lit(PRIOR_FLOOR))
     beta = F.greatest((1 - F.col("start")) * STRENGTH * fade + F.coalesce("b", F.lit(0.0)), F.lit(PRIOR_FLOOR))

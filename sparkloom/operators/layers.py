@@ -35,7 +35,7 @@ def layer_edges(edges: DataFrame, layers: DataFrame) -> DataFrame:
 def layer_consistency(crossings: DataFrame, ranks: DataFrame) -> DataFrame:
     """Distance-weighted share of crossings that point down, per graph; ranks: layer, rank (0 the lowest)."""
     r = lambda end: ranks.select(F.col("layer").alias(f"{end}_layer"), F.col("rank").alias(f"{end}_rank"))
-    x = crossings.join(F.broadcast(r("from")), "from_layer").join(F.broadcast(r("to")), "to_layer")
+    x = crossings.join(r("from"), "from_layer").join(r("to"), "to_layer")
     w = F.col("edges") * F.abs(F.col("from_rank") - F.col("to_rank"))
     good = F.when(F.col("from_rank") > F.col("to_rank"), w).otherwise(0)
     return x.groupBy("graph_id").agg((F.sum(good) / F.nullif(F.sum(w), F.lit(0))).alias("consistency"), F.sum(F.when(F.col("from_rank") < F.col("to_rank"), F.col("edges")).otherwise(0)).alias("violations"))
@@ -43,7 +43,7 @@ def layer_consistency(crossings: DataFrame, ranks: DataFrame) -> DataFrame:
 
 def fitness(edges: DataFrame, layers: DataFrame, ranks: DataFrame, most: int = MOST_VIOLATIONS) -> DataFrame:
     """Rule violations: a layer depends on a higher one, skips two or more, or production code imports a test."""
-    of = lambda end: layers.join(F.broadcast(ranks), "layer").select("graph_id", F.col("node").alias(end), F.col("layer").alias(f"{end}_layer"), F.col("rank").alias(f"{end}_rank"))
+    of = lambda end: layers.join(ranks, "layer").select("graph_id", F.col("node").alias(end), F.col("layer").alias(f"{end}_layer"), F.col("rank").alias(f"{end}_rank"))
     e = real(edges).join(of("src"), ["graph_id", "src"], "left").join(of("dst"), ["graph_id", "dst"], "left")
     gap = F.col("src_rank") - F.col("dst_rank")
     rule = F.when(~F.col("src").rlike(TEST_FILE) & F.col("dst").rlike(TEST_FILE), "test isolation").when(gap < 0, "upward dependency").when(gap > SKIP, "layer skip")

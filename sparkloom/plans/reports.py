@@ -36,31 +36,32 @@ def graph_cards(spark: SparkSession, d: str) -> DataFrame:
     return P.cards(f.select("path", "role"), H.change_coupling(history(spark, d)), tests)
 
 
-@query(f"""WITH {_COUPLED}, ch AS (SELECT DISTINCT f FROM touched WHERE length(hash) > 0 AND substr(hash, 1, 1) = '0'), w AS (SELECT file_a "file", file_b missing, conf_ab c FROM coupled UNION ALL SELECT file_b, file_a, conf_ba FROM coupled)
+@query(f"""WITH {_COUPLED}, last AS (SELECT graph_id, max_by(hash, (ts, hash)) hash FROM log GROUP BY 1), ch AS (SELECT DISTINCT f FROM touched JOIN last USING (graph_id, hash)), w AS (SELECT file_a "file", file_b missing, conf_ab c FROM coupled UNION ALL SELECT file_b, file_a, conf_ba FROM coupled)
   SELECT "file", missing, round(c, 6) confidence FROM w WHERE c >= 0.5 AND "file" IN (SELECT f FROM ch) AND missing NOT IN (SELECT f FROM ch)""")
 def missing_co_changes(spark: SparkSession, d: str) -> DataFrame:
-    """Partners left out when all commits whose hash begins with 0 are one change."""
+    """Partners left out by the latest commit of each repository."""
     log = history(spark, d)
-    changed = log.where(F.substring("hash", 1, 1) == "0").select(F.explode("files").alias("file")).distinct()
+    last = log.groupBy("graph_id").agg(F.max_by("files", F.struct("ts", "hash")).alias("files"))
+    changed = last.select(F.explode("files").alias("file")).distinct()
     return P.missing_co_changes(changed, H.change_coupling(log, top=None)).withColumn("confidence", F.round("confidence", 6))
 
 
-@query(f"""WITH {_FILES}, c AS (SELECT * FROM f WHERE length(path) % 3 = 0) SELECT path AS "file", 'chokepoint' finding FROM c WHERE is_chokepoint UNION ALL SELECT path, 'cross-cutting' FROM c WHERE is_cross_cutting UNION ALL SELECT path, 'bottleneck' FROM c WHERE betweenness > 0.1 AND NOT isnan(betweenness)""")
+@query(f"""WITH {_FILES}, c AS (SELECT * FROM f) SELECT path AS "file", 'chokepoint' finding FROM c WHERE is_chokepoint UNION ALL SELECT path, 'cross-cutting' FROM c WHERE is_cross_cutting UNION ALL SELECT path, 'bottleneck' FROM c WHERE betweenness > 0.1 AND NOT isnan(betweenness)""")
 def ci_findings(spark: SparkSession, d: str) -> DataFrame:
-    """Findings on files whose path length is divisible by three."""
+    """Findings on a change that touches every file."""
     f = _files(spark, d, "is_chokepoint", "is_cross_cutting", "betweenness")
-    return P.findings(f.where(F.length("path") % 3 == 0).select(F.col("path").alias("file")), f)
+    return P.findings(f.select(F.col("path").alias("file")), f)
 
 
-@query(f"""WITH RECURSIVE {TRADE}, st AS (SELECT id FROM nodes WHERE id::INT % 6 = 0), w(s, n, k) AS (SELECT dst, src, 1 FROM edges WHERE dst IN (FROM st) UNION SELECT s, src, k + 1 FROM w JOIN edges ON dst = n WHERE k < 5),
+@query(f"""WITH RECURSIVE {TRADE}, st AS (SELECT id FROM nodes), w(s, n, k) AS (SELECT dst, src, 1 FROM edges WHERE dst IN (FROM st) UNION SELECT s, src, k + 1 FROM w JOIN edges ON dst = n WHERE k < 5),
   near AS (SELECT s, n, min(k) k FROM w WHERE s <> n GROUP BY ALL), r1 AS (SELECT s, n, row_number() OVER (PARTITION BY s ORDER BY k, n) r FROM near),
   cp AS (SELECT src s, dst n, weight c FROM edges UNION ALL SELECT dst, src, weight FROM edges), r2 AS (SELECT s, n, row_number() OVER (PARTITION BY s ORDER BY round(c, 9) DESC, n) r FROM cp WHERE s IN (FROM st)),
   al AS (SELECT s, n FROM r1 UNION SELECT s, n FROM r2), r3 AS (SELECT s, n, row_number() OVER (PARTITION BY s ORDER BY n) r FROM al), fu AS (SELECT s, n, sum(1.0::DOUBLE / (60 + r)) score, count(*) rankers FROM (FROM r1 UNION ALL FROM r2 UNION ALL FROM r3) GROUP BY ALL)
   SELECT "query", item, score, rankers, rank FROM (SELECT 'trade|' || s AS "query", n AS item, round(score, 6) score, rankers, row_number() OVER (PARTITION BY s ORDER BY round(score, 9) DESC, n) rank FROM fu) WHERE rank <= 5""")
 def change_impact(spark: SparkSession, d: str) -> DataFrame:
-    """What a change of every sixth nation reaches, by distance, revenue and folder (all one)."""
+    """What a change of each nation reaches, by distance, revenue and folder (all one)."""
     e = trade_graph(spark, d)
-    start = e.select("graph_id", F.explode(F.array("src", "dst")).alias("start")).distinct().where(F.col("start").cast("int") % 6 == 0)
+    start = e.select("graph_id", F.explode(F.array("src", "dst")).alias("start")).distinct()
     c = e.select("graph_id", F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").alias("confidence"))
     return P.change_impact(e, c, start).withColumn("score", F.round("score", 6))
 

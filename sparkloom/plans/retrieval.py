@@ -18,7 +18,7 @@ _Q = "q(query, term) AS (VALUES " + ", ".join(f"('{k}', '{w}')" for k, ws in ASK
 _SYN = "syn(term, synonym) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in R.synonym_rows()) + ")"
 _EXP = f"{_Q}, {_SYN}, qe AS (SELECT query, term, 1::DOUBLE weight FROM q UNION ALL SELECT DISTINCT query, synonym, 0.3 FROM q JOIN syn USING (term) WHERE NOT EXISTS (SELECT 1 FROM q o WHERE o.query = q.query AND o.term = synonym))"
 _words = lambda c, n=3: f"list_filter(string_split_regex(lower(coalesce({c}, '')), '[^a-z0-9]+'), lambda w: length(w) >= {n})"
-_DOCS = f"d AS (SELECT doc_id doc, {_words('file_path')} path, {_words('left(text, 100000000)')} symbols, {_words('source')} imports FROM documents)"
+_DOCS = f"d AS (SELECT doc_id doc, {_words('file_path')} path, {_words('text')} symbols, {_words('source')} imports FROM documents)"
 
 
 def asked(spark: SparkSession) -> DataFrame:
