@@ -40,7 +40,7 @@ def import_candidates(imports: DataFrame, aliases: DataFrame | None = None) -> D
     """(path, specifier, candidate, priority): every file that an import may mean, the most likely first.
 
     Relative specifiers are folded against the importing file's folder; ``aliases`` (prefix, target) stand for path
-    mappings and workspace packages. Script files probe extensions and index files, Python modules and packages, Java
+    mappings and workspace packages: a configuration of a few rows, which is broadcast. Script files probe extensions and index files, Python modules and packages, Java
     source roots, Rust modules.
     """
     s, here = F.col("specifier"), directory(F.col("path"))
