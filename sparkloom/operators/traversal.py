@@ -53,26 +53,38 @@ def reach(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     return known
 
 
-def components(edges: DataFrame, nodes: DataFrame, most_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(graph_id, node, component): weakly connected components, named by their least node.
 
-    Least labels are passed along edges and then jump to the label of the label, so rounds grow with the logarithm of a
-    path's length. Only the edge table and one label per node are kept between rounds, in the shared folder.
+    Every round hooks each component to its least neighbouring component if that is less, follows these hooks to their
+    ends by pointer doubling, and contracts the edges to the new components. It ends when no edge between two components
+    is left, so nothing is cut off; a round joins every component that has a lesser neighbour. Edges to nodes outside
+    ``nodes`` count for nothing. Only the contracted edges, the hooks and one label per node are kept between rounds, in
+    the shared folder.
     """
-    e = real(edges)
-    both = durable(e.select("graph_id", "src", "dst").unionByName(e.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    label = durable(nodes.select("graph_id", "node").distinct().withColumn("component", F.col("node")))
-    for _ in range(most_rounds):
-        seen = both.join(label.select("graph_id", F.col("node").alias("dst"), "component"), ["graph_id", "dst"]).groupBy("graph_id", F.col("src").alias("node")).agg(F.min("component").alias("near"))
-        met = label.join(seen, ["graph_id", "node"], "left").withColumn("low", F.least("component", F.coalesce("near", "component")))
-        jump = met.select("graph_id", F.col("node").alias("low"), F.col("low").alias("further"))
-        new = durable(met.join(jump, ["graph_id", "low"]).select("graph_id", "node", F.least("low", "further").alias("component"), "component").toDF("graph_id", "node", "component", "old"))
-        label = new.drop("old")
-        if new.where("component <> old").isEmpty():
-            break
+    label = durable(nodes.select("graph_id", "node").dropna().distinct().withColumn("component", F.col("node")))
+    of = lambda end: label.select("graph_id", F.col("node").alias(end))
+    e = real(edges).select("graph_id", "src", "dst").where("src <> dst").distinct().join(of("src"), ["graph_id", "src"], "left_semi").join(of("dst"), ["graph_id", "dst"], "left_semi")
+    links = durable(e.select("graph_id", "src", "dst").unionByName(e.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    while not links.isEmpty():
+        root = _ends(durable(links.groupBy("graph_id", "src").agg(F.min("dst").alias("to")).where("to < src").withColumnRenamed("src", "component")))
+        label = durable(label.join(root, ["graph_id", "component"], "left").select("graph_id", "node", F.coalesce("to", "component").alias("component")))
+        for end in ("src", "dst"):
+            links = links.join(root.withColumnRenamed("component", end), ["graph_id", end], "left").withColumn(end, F.coalesce("to", end)).drop("to")
+        links = durable(links.where("src <> dst").select("graph_id", "src", "dst").distinct())
     return label
 
 
+def _ends(hooks: DataFrame) -> DataFrame:
+    """(graph_id, component, to) with ``to`` at the end of its chain of hooks; each pass doubles what a hook spans. Every hook leads to a lesser name, so there are no cycles."""
+    while True:
+        onward = hooks.select("graph_id", F.col("component").alias("to"), F.col("to").alias("further"))
+        new = durable(hooks.join(onward, ["graph_id", "to"], "left"))
+        hooks = new.select("graph_id", "component", F.coalesce("further", "to").alias("to"))
+        if new.where("further IS NOT NULL").isEmpty():
+            return hooks
+
+
 def two_cycles(edges: DataFrame) -> DataFrame:
     """Pairs a < b with edges both ways."""
     e = real(edges).select("graph_id", "src", "dst").distinct()

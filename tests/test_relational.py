@@ -97,6 +97,25 @@ def test_components_closure_and_empty_graphs(spark):
     assert G.hits(none).count() == G.chokepoints(none).count() == V.closure(none).count() == E.instability(none.withColumn("is_type_only", F.lit(False))).count() == 0
 
 
+@pytest.mark.parametrize("n", [70, 200])
+def test_components_of_a_chain_whose_names_fall_away_from_the_least(spark, n):
+    name = lambda i: f"{i:04d}"
+    chain = [0, *range(n - 1, 0, -1)]
+    rows = [("x", name(a), name(b), 1.0) for a, b in zip(chain, chain[1:], strict=False)] + [("y", "b", "a", 1.0), ("y", "b", "gone", 1.0)]
+    nodes = spark.createDataFrame([("x", name(i)) for i in range(n)] + [("y", "a"), ("y", "b"), ("y", "c")], "graph_id string, node string")
+    got = {(r.graph_id, r.node): r.component for r in V.components(spark.createDataFrame(rows, EDGES), nodes).collect()}
+    assert got == {("x", name(i)): name(0) for i in range(n)} | {("y", "a"): "a", ("y", "b"): "a", ("y", "c"): "c"}
+
+
+def test_components_equal_a_search_on_random_trees(spark):
+    rng = random.Random(5)
+    names = {g: rng.sample(range(1000, 9999), 120) for g in "pq"}
+    rows = [(g, str(v[i]), str(v[rng.randrange(max(i // 40 * 40, i - 3), i)]), 1.0) for g, v in names.items() for i in range(1, 120) if i % 40]
+    want = {(g, str(v[i])): str(min(v[i // 40 * 40 : i // 40 * 40 + 40])) for g, v in names.items() for i in range(120)}
+    nodes = spark.createDataFrame([(g, str(x)) for g, v in names.items() for x in v], "graph_id string, node string")
+    assert {(r.graph_id, r.node): r.component for r in V.components(spark.createDataFrame(rows, EDGES), nodes).collect()} == want
+
+
 COMMITS = "graph_id string, hash string, ts timestamp, message string, files array<string>"
 
 
