@@ -11,9 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.arrays import pairs_of
+from .edges import real
 
 #: Limits of coupling.
-MOST_FILES, LEAST_JACCARD, LEAST_ONE_SIDED, ACTIVE, LEAST_QUIET, LEAST_ACTIVE, MAX_LAG, REPORT_TOP = 30, 0.3, 0.6, 20, 2, 3, 3, 10
+MOST_FILES, LEAST_JACCARD, LEAST_ONE_SIDED, ACTIVE, LEAST_QUIET, LEAST_ACTIVE, MAX_LAG, REPORT_TOP, HIDDEN = 30, 0.3, 0.6, 20, 2, 3, 3, 10, 0.4
 #: Decay constants in days by commits a month.
 FAST, MODERATE, SLOW, FAST_FROM, SLOW_BELOW = 29.0, 45.0, 87.0, 30, 5
 #: The first pattern that a message matches discounts its commit.
@@ -140,6 +141,22 @@ def edge_priors(edges: DataFrame, commits: DataFrame, order: list[str]) -> DataF
     return start.select("graph_id", "src", "dst", alpha.alias("alpha"), beta.alias("beta"), (alpha / (alpha + beta)).alias("expectation"))
 
 
+def hidden_coupling(coupled: DataFrame, edges: DataFrame, least: float = HIDDEN) -> DataFrame:
+    """Coupled pairs of at least ``least`` confidence that no path of one or two edges, either way, explains; all of them.
+
+    ``coupled``: all pairs, before any cut to a report (``change_coupling`` with ``top=None``). A path of three edges or
+    more, or none, leaves a pair hidden. Both hops start from the pairs, so no closure of the graph is built.
+    """
+    strong = coupled.where(F.col("confidence") >= least)
+    e = real(edges).select("graph_id", F.col("src").alias("x"), F.col("dst").alias("y"))
+    both = e.unionByName(e.select("graph_id", F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
+    pairs = strong.select("graph_id", "file_a", "file_b").distinct()
+    one = pairs.join(both.toDF("graph_id", "file_a", "file_b"), ["graph_id", "file_a", "file_b"], "left_semi")
+    two = pairs.join(both.toDF("graph_id", "file_a", "mid"), ["graph_id", "file_a"]).join(both.toDF("graph_id", "mid", "file_b"), ["graph_id", "mid", "file_b"], "left_semi")
+    explained = one.unionByName(two.select("graph_id", "file_a", "file_b")).distinct()
+    return strong.join(explained, ["graph_id", "file_a", "file_b"], "left_anti")
+
+
 def alive(pairs: DataFrame, files: DataFrame) -> DataFrame:
     """Pairs of files that both still exist."""
     f = files.select("graph_id", "path").distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import history as H
 from ..shared import table as t
 from .inputs import HISTORY, history
-from .registry import query
+from .registry import ORACLES, query
 
 _NOISE = "CASE " + " ".join(f"WHEN regexp_matches(coalesce(message, ''), '{p}') THEN {w}::DOUBLE" for p, w in H.NOISE) + " ELSE 1::DOUBLE END"
 _COUPLED = f"""{HISTORY},
@@ -86,23 +86,40 @@ def alive_pairs(spark: SparkSession, d: str) -> DataFrame:
     return H.alive(H.change_coupling(history(spark, d)), t(spark, d, "files")).select("graph_id", "file_a", "file_b")
 
 
+@query(ORACLES["alive_pairs"].replace("ranked WHERE rank <= 10 AND", "coupled ranked WHERE"))
+def alive_pairs_all(spark: SparkSession, d: str) -> DataFrame:
+    """All couplings of files that still exist, not only those among the ten reported."""
+    return H.alive(H.change_coupling(history(spark, d), top=None), t(spark, d, "files")).select("graph_id", "file_a", "file_b")
+
+
 @query(f"WITH {HISTORY} SELECT graph_id, hash, {_NOISE} noise FROM log")
 def commit_noise(spark: SparkSession, d: str) -> DataFrame:
     """Discount of every commit by its message."""
     return history(spark, d).select("graph_id", "hash", H.noise_discount(F.col("message")).alias("noise"))
 
 
+def _across_layers(spark: SparkSession, d: str, coupled: DataFrame) -> DataFrame:
+    """Coupled pairs of confidence .4 or more whose files lie in different layers."""
+    from ..shared import latest_by
+
+    layers = latest_by(t(spark, d, "files").select("path", "layer", "updated_at"), ["path"], ["updated_at"]).select("path", "layer")
+    of = lambda x: layers.select(F.col("path").alias(f"file_{x}"), F.col("layer").alias(f"layer_{x}"))
+    c = coupled.where("confidence >= 0.4").join(of("a"), "file_a", "left").join(of("b"), "file_b", "left")
+    return _rounded(c.where(~F.col("layer_a").eqNullSafe(F.col("layer_b"))).select("graph_id", "file_a", "file_b", "confidence"), "confidence")
+
+
 @query(f"""WITH {_COUPLED} SELECT ranked.graph_id, file_a, file_b, round(confidence, 6) confidence FROM ranked
   WHERE rank <= 10 AND confidence >= 0.4 AND (SELECT max(layer) FROM (SELECT path, layer, row_number() OVER (PARTITION BY path ORDER BY updated_at DESC NULLS LAST) rn FROM files) WHERE rn = 1 AND path = file_a) IS DISTINCT FROM
    (SELECT max(layer) FROM (SELECT path, layer, row_number() OVER (PARTITION BY path ORDER BY updated_at DESC NULLS LAST) rn FROM files) WHERE rn = 1 AND path = file_b)""")
 def hidden_coupling(spark: SparkSession, d: str) -> DataFrame:
     """Strong couplings across layers, where nothing in the structure explains them."""
-    from ..shared import latest_by
+    return _across_layers(spark, d, H.change_coupling(history(spark, d)))
 
-    layers = latest_by(t(spark, d, "files").select("path", "layer", "updated_at"), ["path"], ["updated_at"]).select("path", "layer")
-    of = lambda x: layers.select(F.col("path").alias(f"file_{x}"), F.col("layer").alias(f"layer_{x}"))
-    c = H.change_coupling(history(spark, d)).where("confidence >= 0.4").join(of("a"), "file_a", "left").join(of("b"), "file_b", "left")
-    return _rounded(c.where(~F.col("layer_a").eqNullSafe(F.col("layer_b"))).select("graph_id", "file_a", "file_b", "confidence"), "confidence")
+
+@query(ORACLES["hidden_coupling"].replace("FROM ranked\n  WHERE rank <= 10 AND", "FROM coupled ranked\n  WHERE"))
+def hidden_coupling_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same among all couplings of a repository, not only its ten reported ones."""
+    return _across_layers(spark, d, H.change_coupling(history(spark, d), top=None))
 
 
 @query("""WITH s AS (SELECT id, file_path, start_line, end_line FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC NULLS LAST) rn FROM symbols WHERE id IS NOT NULL) WHERE rn = 1),

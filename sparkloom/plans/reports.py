@@ -18,7 +18,7 @@ from ..shared import table as t
 from ..sources.source_tree import language_of
 from .history import _COUPLED
 from .inputs import TRADE, VOLUMES, history, trade_graph, trade_volumes
-from .registry import query
+from .registry import ORACLES, query
 
 _FILES = "f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY updated_at DESC NULLS LAST) rn FROM files WHERE path IS NOT NULL) WHERE rn = 1)"
 
@@ -27,13 +27,23 @@ def _files(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return latest_by(t(spark, d, "files").where("path IS NOT NULL").select("path", *columns, "updated_at"), ["path"], ["updated_at"]).select("path", *columns)
 
 
+def _cards(spark: SparkSession, d: str, coupled: DataFrame) -> DataFrame:
+    f = _files(spark, d, "role", "test_files")
+    tests = f.select("path", F.explode("test_files").alias("test")).where("test IS NOT NULL")
+    return P.cards(f.select("path", "role"), coupled, tests)
+
+
 @query(f"""WITH {_COUPLED}, {_FILES}, b AS (SELECT file_a path, file_b other, confidence c FROM ranked WHERE rank <= 10 UNION ALL SELECT file_b, file_a, confidence FROM ranked WHERE rank <= 10), tp AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY round(c, 9) DESC, other) k FROM b),
   g AS (SELECT path, string_agg(other, ',' ORDER BY k) co FROM tp WHERE k <= 3 GROUP BY 1), n AS (SELECT path, count(DISTINCT x) n FROM (SELECT path, unnest(test_files) x FROM f) WHERE x IS NOT NULL GROUP BY 1) SELECT f.path, f.role AS "role", coalesce(co, '') co_changes, coalesce(n, 0) tests FROM f LEFT JOIN g USING (path) LEFT JOIN n USING (path)""")
 def graph_cards(spark: SparkSession, d: str) -> DataFrame:
     """Card of every file."""
-    f = _files(spark, d, "role", "test_files")
-    tests = f.select("path", F.explode("test_files").alias("test")).where("test IS NOT NULL")
-    return P.cards(f.select("path", "role"), H.change_coupling(history(spark, d)), tests)
+    return _cards(spark, d, H.change_coupling(history(spark, d)))
+
+
+@query(ORACLES["graph_cards"].replace("ranked WHERE rank <= 10", "coupled"))
+def graph_cards_all(spark: SparkSession, d: str) -> DataFrame:
+    """Card of every file from all couplings of its repository, not only the ten reported ones."""
+    return _cards(spark, d, H.change_coupling(history(spark, d), top=None))
 
 
 @query(f"""WITH {_COUPLED}, last AS (SELECT graph_id, max_by(hash, (ts, hash)) hash FROM log GROUP BY 1), ch AS (SELECT DISTINCT f FROM touched JOIN last USING (graph_id, hash)), w AS (SELECT file_a "file", file_b missing, conf_ab c FROM coupled UNION ALL SELECT file_b, file_a, conf_ba FROM coupled)

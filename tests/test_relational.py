@@ -129,6 +129,27 @@ def test_coupling_of_three_commits(spark):
     assert H.change_coupling(_log(spark, [("x", ["a"])] * 3)).count() == 0
 
 
+def test_hidden_pairs_are_sought_beyond_the_ten_reported(spark):
+    log = _log(spark, [("x", [f"a{i:02d}", f"b{i:02d}"]) for i in range(15) for _ in range(3)])
+    rows = [("g", "b00", "a00"), ("g", "a01", "m"), ("g", "b01", "m"), ("g", "a14", "m"), ("g", "n", "m"), ("g", "n", "b14"), ("other", "a02", "b02")]
+    hidden = H.hidden_coupling(H.change_coupling(log, top=None), spark.createDataFrame(rows, "graph_id string, src string, dst string"))
+    assert {(r.file_a, r.file_b) for r in hidden.collect()} == {(f"a{i:02d}", f"b{i:02d}") for i in range(2, 15)}
+
+
+def test_whole_coupling_queries_pass_the_ten_reported(spark, tmp_path):
+    from sparkloom.plans import QUERIES
+
+    names = [f"{x}{i:02d}" for x in "ab" for i in range(15)]
+    log = _log(spark, [("x", [f"a{i:02d}", f"b{i:02d}"]) for i in range(15) for _ in range(3)]).withColumn("ingested_at", F.col("ts"))
+    log.write.parquet(f"{tmp_path}/commits.parquet")
+    files = spark.createDataFrame([("g", n, n[0], datetime(2024, 1, 1), "r", ["t"]) for n in names], "graph_id string, path string, layer string, updated_at timestamp, role string, test_files array<string>")
+    files.write.parquet(f"{tmp_path}/files.parquet")
+    run = lambda q: QUERIES[q](spark, str(tmp_path))
+    assert run("hidden_coupling").count() == run("alive_pairs").count() == 10
+    assert run("hidden_coupling_all").count() == run("alive_pairs_all").count() == 15
+    assert run("graph_cards").where("co_changes <> ''").count() == 20 and run("graph_cards_all").where("co_changes <> ''").count() == 30
+
+
 def test_noise_ranks_below_and_lags_need_nearness(spark):
     log = _log(spark, [("feat: x", ["a", "b"])] * 3 + [("chore: format", ["c", "d"])] * 3)
     assert [(r.file_a, r.rank) for r in H.change_coupling(log).orderBy("rank").collect()] == [("a", 1), ("c", 2)]
