@@ -162,6 +162,26 @@ def rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
     return R.rrf([lex, near]).withColumn("score", F.round("score", 6))
 
 
+def own_words(spark: SparkSession, d: str) -> DataFrame:
+    """(query, term, weight): for every hundredth vector the words of its document, the one of the same number, with synonyms."""
+    ids = t(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("doc")).distinct()
+    own = documents(spark, d).join(ids, "doc").select(F.col("doc").alias("query"), F.explode(F.array_distinct("symbols")).alias("term"))
+    return R.expand(own, spark.createDataFrame(R.synonym_rows(), "term string, synonym string"))
+
+
+_OWN = _BM25F.replace(_Q, f"q AS (SELECT DISTINCT vec_id query, unnest({_words('text')}) term FROM documents JOIN embeddings ON vec_id = doc_id WHERE vec_id % 100 = 0)")
+
+
+@query(f"""WITH {_OWN}, lex AS (SELECT query, doc item, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) rank FROM bm), v AS (SELECT q.vec_id query, v.vec_id item, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, v.vec_id) rank FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)
+  SELECT query, item, round(sum(1.0::DOUBLE / (60 + rank)), 6) score, count(*) rankers FROM (SELECT * FROM lex WHERE rank <= 20 UNION ALL SELECT * FROM v WHERE rank <= 50) GROUP BY ALL""")
+def rrf_hybrid_all(spark: SparkSession, d: str) -> DataFrame:
+    """Lexical and vector rankings fused for every hundredth vector, its document's words as the lexical query, against all rows."""
+    lex = R.top_k(R.bm25f(documents(spark, d), own_words(spark, d)), 20, ["query"], [F.round("score", 9).desc(), F.col("doc")]).select("query", F.col("doc").alias("item"), "rank")
+    v = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    near = R.knn(v.where("id % 100 = 0").withColumnRenamed("id", "query"), v, 50).select("query", F.col("id").alias("item"), "rank")
+    return R.rrf([lex, near]).withColumn("score", F.round("score", 6))
+
+
 @query(f"""WITH {_BM25F}, lex AS (SELECT query, doc item, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) rank FROM bm), want AS (SELECT DISTINCT query, doc item FROM (SELECT doc, unnest(symbols) term FROM d) JOIN q USING (term) WHERE doc % 3 = 0), h AS (SELECT query, 1.0::DOUBLE / min(rank) rr, sum((rank <= 5)::INT) f FROM lex JOIN want USING (query, item) GROUP BY 1), z AS (SELECT query, count(*) n FROM want GROUP BY 1)
   SELECT query, round(coalesce(rr, 0), 6) rr, round(coalesce(f, 0) / n, 6) recall, round(coalesce(f, 0) / 5, 6) AS precision FROM z LEFT JOIN h USING (query)""")
 def retrieval_quality(spark: SparkSession, d: str) -> DataFrame:

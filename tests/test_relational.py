@@ -150,6 +150,20 @@ def test_whole_coupling_queries_pass_the_ten_reported(spark, tmp_path):
     assert run("graph_cards").where("co_changes <> ''").count() == 20 and run("graph_cards_all").where("co_changes <> ''").count() == 30
 
 
+def test_hybrid_query_of_every_hundredth_vector(spark, tmp_path):
+    from sparkloom.plans import QUERIES
+
+    docs = [(i, "src/x", "alpha beta" if i in (100, 300) else "gamma delta", "log") for i in (100, 300, 401)]
+    spark.createDataFrame(docs, "doc_id bigint, file_path string, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    vectors = [(i, [1.0, 0.0] if i < 250 else [0.0, 1.0]) for i in (200, 201, 300, 301)]
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.query, r.item): (r.score, r.rankers) for r in QUERIES["rrf_hybrid_all"](spark, str(tmp_path)).collect()}
+    score = lambda *ranks: round(sum(1 / (60 + k) for k in ranks), 6)
+    # 200 has no document and is ranked by vector alone; 300 is second to 100 by words, first by vector
+    vector_only = {(200, 200): score(1), (200, 201): score(2), (200, 300): score(3), (200, 301): score(4)}
+    assert got == {k: (v, 1) for k, v in vector_only.items()} | {(300, 100): (score(1), 1), (300, 300): (score(2, 1), 2), (300, 301): (score(2), 1), (300, 200): (score(3), 1), (300, 201): (score(4), 1)}
+
+
 def test_noise_ranks_below_and_lags_need_nearness(spark):
     log = _log(spark, [("feat: x", ["a", "b"])] * 3 + [("chore: format", ["c", "d"])] * 3)
     assert [(r.file_a, r.rank) for r in H.change_coupling(log).orderBy("rank").collect()] == [("a", 1), ("c", 2)]
