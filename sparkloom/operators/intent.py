@@ -61,14 +61,20 @@ def latent_seeds(seed_scores: DataFrame, vectors: DataFrame, least: float = LATE
     """(query, item, score): items whose vector is within ``least`` cosine of the weighted centre of the seeds' vectors.
 
     Each gets .4 of the least seed score; seeds themselves are left out. ``seed_scores``: query, item, score; vectors: item, vector.
+    With graph_id in both, the search stays within each graph, as vectors of two graphs have nothing in common, and graph_id is put in front.
     """
-    part = seed_scores.join(vectors, "item").select("query", "score", F.posexplode("vector").alias("i", "x"))
-    centre = part.groupBy("query", "i").agg((F.sum(F.col("x") * F.col("score")) / F.sum("score")).alias("x")).groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centre"))
-    low = seed_scores.groupBy("query").agg((LATENT_SHARE * F.min("score")).alias("score"))
+    within = ["graph_id"] if "graph_id" in vectors.columns else []
+    part = seed_scores.join(vectors, [*within, "item"]).select(*within, "query", "score", F.posexplode("vector").alias("i", "x"))
+    centre = part.groupBy(*within, "query", "i").agg((F.sum(F.col("x") * F.col("score")) / F.sum("score")).alias("x")).groupBy(*within, "query").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centre"))
+    low = seed_scores.groupBy(*within, "query").agg((LATENT_SHARE * F.min("score")).alias("score"))
     unit = lambda c: F.transform(c, lambda x: x / F.nullif(F.sqrt(dot(F.col(c), F.col(c))), F.lit(0.0)))
-    near = R.knn(centre.select("query", unit("centre").alias("embedding")), vectors.select(F.col("item").alias("id"), unit("vector").alias("embedding")), most + SEEDS)
-    fresh = near.where(F.col("score") >= least).select("query", F.col("id").alias("item"), F.col("score").alias("cosine")).join(seed_scores.select("query", "item"), ["query", "item"], "left_anti")
-    return R.top_k(fresh, most, ["query"], [F.round("cosine", 9).desc(), F.col("item")]).join(low, "query").select("query", "item", "score")
+    asked, items = centre.select(*within, "query", unit("centre").alias("embedding")), vectors.select(*within, F.col("item").alias("id"), unit("vector").alias("embedding"))
+    if within:
+        near = asked.join(items.withColumnRenamed("embedding", "other"), within).select(*within, "query", "id", dot(F.col("embedding"), F.col("other")).alias("score"))
+    else:
+        near = R.knn(asked, items, most + SEEDS)
+    fresh = near.where(F.col("score") >= least).select(*within, "query", F.col("id").alias("item"), F.col("score").alias("cosine")).join(seed_scores.select(*within, "query", "item"), [*within, "query", "item"], "left_anti")
+    return R.top_k(fresh, most, [*within, "query"], [F.round("cosine", 9).desc(), F.col("item")]).join(low, [*within, "query"]).select(*within, "query", "item", "score")
 
 
 def task_subgraph(edges: DataFrame, starts: DataFrame, depth: int = 2) -> DataFrame:

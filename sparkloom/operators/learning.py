@@ -104,7 +104,7 @@ def latent_vectors(incidence: DataFrame, rank: int = RANK, least: int = LEAST_FI
 
     def decompose(pdf: pd.DataFrame) -> pd.DataFrame:
         items, names = sorted(pdf.item.unique()), sorted(pdf.name.unique())
-        empty = pd.DataFrame({"graph_id": [], "item": [], "vector": []})
+        empty = pd.DataFrame({"graph_id": [], "item": [], "vector": []}, dtype=object)  # floats cannot become lists
         if len(items) < least or len(names) < 2:
             return empty
         r, c = pdf.item.map({v: i for i, v in enumerate(items)}).to_numpy(), pdf["name"].map({v: i for i, v in enumerate(names)}).to_numpy()

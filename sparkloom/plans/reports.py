@@ -13,7 +13,8 @@ from ..operators import history as H
 from ..operators import intent as I
 from ..operators import learning as M
 from ..operators import reports as P
-from ..shared import latest_by
+from ..operators import retrieval as R
+from ..shared import durable, latest_by
 from ..shared import table as t
 from ..sources.source_tree import language_of
 from .history import _COUPLED
@@ -155,11 +156,11 @@ def intent_seeds(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def latent_seeds(spark: SparkSession, d: str) -> DataFrame:
-    """Files whose imports are like those of the first two files of the largest repository."""
+    """Files whose imports are like those of the first two files of their repository, for every repository; query is its graph_id."""
     s = latest_by(t(spark, d, "symbols").where("id IS NOT NULL").select("id", "graph_id", "file_path", "import_names", "indexed_at"), ["id"], ["indexed_at"])
-    v = M.latent_vectors(s.where("graph_id = 'atlas-mono' AND file_path IS NOT NULL").select("graph_id", F.col("file_path").alias("item"), F.explode("import_names").alias("name")).where("name <> ''"))
-    first = v.select("item").orderBy("item").limit(2).select(F.lit("q").alias("query"), "item", F.lit(1.0).alias("score"))
-    return I.latent_seeds(first, v.select("item", "vector"))
+    v = durable(M.latent_vectors(s.where("file_path IS NOT NULL").select("graph_id", F.col("file_path").alias("item"), F.explode("import_names").alias("name")).where("name <> ''")))
+    first = R.top_k(v, 2, ["graph_id"], [F.col("item")]).select("graph_id", F.col("graph_id").alias("query"), "item", F.lit(1.0).alias("score"))
+    return I.latent_seeds(first, v).drop("graph_id")
 
 
 @query()

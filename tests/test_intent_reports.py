@@ -31,6 +31,18 @@ def test_flows_name_what_dominates_their_end(spark):
     assert r[0].path == "in>a>b>out" and r[0].through == "in,a" and r[0].crossings == 1 and r[0].confidence == pytest.approx(0.9**3)
 
 
+def test_latent_seeds_of_every_repository(spark, tmp_path):
+    from sparkloom.plans import QUERIES
+
+    rows = [(f"{g}{i}{n}", g, f"{g}/{i:02d}", [f"{'ab'[i % 2]}{n}"], i) for g, m in (("one", 60), ("two", 60), ("tiny", 4)) for i in range(m) for n in range(4) if (i + n) % 5]
+    s = spark.createDataFrame(rows, "id string, graph_id string, file_path string, import_names array<string>, k int").withColumn("indexed_at", F.timestamp_seconds("k"))
+    s.write.parquet(f"{tmp_path}/symbols.parquet")
+    got = QUERIES["latent_seeds"](spark, str(tmp_path)).collect()
+    assert {r.query for r in got} == {"one", "two"} and all(r.item.startswith(r.query) for r in got)
+    assert all(sum(r.query == g for r in got) == I.LATENT_MOST for g in ("one", "two")) and not {r.item for r in got} & {"one/00", "one/01", "two/00", "two/01"}
+    assert {r.score for r in got} == {0.4}
+
+
 def test_verdicts_and_impact(spark):
     e = spark.createDataFrame([("g", "t", "a", "calls", 0.9), ("g", "u", "t", "calls", 0.9), ("g", "v", "a", "uses_type", 0.2)], "graph_id string, src string, dst string, kind string, confidence double")
     ch = spark.createDataFrame([("g", "a", "signature")], "graph_id string, node string, change string")
