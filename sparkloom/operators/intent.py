@@ -16,7 +16,7 @@ from .edges import real
 #: Seed scores and limits, expansion by latent vectors, flow limits, discounts.
 PATH_HIT, SYMBOL_HIT, AUTHORITY, SEEDS = 2.0, 1.5, 0.5, 10
 LATENT_LEAST, LATENT_MOST, LATENT_SHARE = 0.3, 5, 0.4
-FLOW_ENTRIES, FLOW_ENDS, FLOW_HOPS, FLOW_PATHS, FLOW_EDGES, FLOWS, FLOW_NODES = 3, 3, 10, 3, 2, 5, 2000
+FLOW_ENTRIES, FLOW_ENDS, FLOW_HOPS, FLOW_PATHS, FLOW_EDGES, FLOWS = 3, 3, 10, 3, 2, 5
 REACH_LEAST, RESEED_QUANTILE, RESEED_BELOW = 1e-3, 0.75, 0.1
 NEGATION_WINDOW, SHORT_PROMPT = 30, 10
 #: How much of a score an edge kind passes on, backwards and for guessed edges less.
@@ -144,13 +144,12 @@ def flows(edges: DataFrame, entries: dict[str, float], ends: list[str], communit
 
     The three best entries meet the three nearest terminals within ten hops; up to three unlike paths of two or more edges
     each, confidence the product of weights; ``through`` names the nodes of a path that dominate its end, ``crossings``
-    counts changes of community. The best five are kept; graphs over 2000 nodes give nothing.
+    counts changes of community. The best five are kept. A graph of any number of nodes is searched, up to the edges that
+    ``per_graph`` takes; beyond them it raises an error.
     """
     groups = community or {}
 
     def f(n, names, src, dst, w):
-        if n > FLOW_NODES:
-            return []
         at = {v: i for i, v in enumerate(names)}
         nexts = K.neighbours(n, src, dst)
         found = []

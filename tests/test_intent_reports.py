@@ -31,6 +31,12 @@ def test_flows_name_what_dominates_their_end(spark):
     assert r[0].path == "in>a>b>out" and r[0].through == "in,a" and r[0].crossings == 1 and r[0].confidence == pytest.approx(0.9**3)
 
 
+def test_flows_of_a_graph_of_many_nodes(spark):
+    rows = [("g", "in", "a", 0.9), ("g", "a", "out", 0.9)] + [("g", "in" if i % 2 else f"x{i - 1}", f"x{i}", 0.1) for i in range(1, 2500)]
+    r = I.flows(spark.createDataFrame(rows, EDGES), {"in": 1.0}, ["out"]).collect()
+    assert [(x.path, x.through) for x in r] == [("in>a>out", "in,a")] and r[0].confidence == pytest.approx(0.81)
+
+
 def test_latent_seeds_of_every_repository(spark, tmp_path):
     from sparkloom.plans import QUERIES
 
