@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,8 +65,11 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows as a table below the checkpoint folder that the cluster names, and read them again.
 
     All executors share that folder, so a lost executor loses nothing. A folder of our own is set only where none is
-    configured, as in local tests.
+    configured, as in local tests. What is durable already is returned as it is. Tables stay until ``discard`` or the end
+    of the application.
     """
+    if id(df) in _tables and _tables[id(df)][0]() is df:
+        return df
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -73,7 +79,39 @@ def durable(df: DataFrame) -> DataFrame:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sparkloom-checkpoint-"))
     path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _tables[id(out)] = (weakref.ref(out), path)
+    if not _paths:
+        atexit.register(_remove_all, sc)
+    _paths.add(path)
+    return out
+
+
+#: The durable DataFrames alive, by identity, and the folders of all durable tables not yet removed.
+_tables: dict[int, tuple[weakref.ref, str]] = {}
+_paths: set[str] = set()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove durable tables that nothing will read any more, such as those of the round before last; others are left alone."""
+    for df in tables:
+        known = _tables.pop(id(df), None)
+        if known and known[0]() is df:
+            _remove(df.sparkSession.sparkContext, known[1])
+
+
+def _remove(sc: SparkContext, path: str) -> None:
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+    _paths.discard(path)
+
+
+def _remove_all(sc: SparkContext) -> None:
+    for path in list(_paths):
+        try:
+            _remove(sc, path)
+        except Exception:  # noqa: BLE001  the gateway is gone; the folder is the cluster's to clean
+            return
 
 
 def ship(spark: SparkSession) -> None:
