@@ -20,14 +20,7 @@ df AS (SELECT term, count(*) df FROM tf GROUP BY term)
 """
 
 _BASKETS = f"""
-spelled AS (SELECT graph_id, hash, ingested_at, files, row_number() OVER (PARTITION BY graph_id, hash ORDER BY ingested_at DESC NULLS LAST) rn FROM commits WHERE graph_id IS NOT NULL AND hash IS NOT NULL),
-item AS (SELECT DISTINCT graph_id, hash, {_path('f')} f FROM (SELECT graph_id, hash, unnest(files) f FROM spelled WHERE rn = 1)),
-counted AS (SELECT graph_id, hash FROM item WHERE f IS NOT NULL GROUP BY ALL HAVING count(*) BETWEEN 2 AND 30),
-i AS (SELECT item.* FROM item JOIN counted USING (graph_id, hash) WHERE f IS NOT NULL),
-total AS (SELECT graph_id, count(*) n FROM counted GROUP BY 1),
-one AS (SELECT graph_id, f, count(*) n FROM i GROUP BY ALL),
-two AS (SELECT x.graph_id, x.f a, y.f b, count(*) together FROM i x JOIN i y ON x.graph_id = y.graph_id AND x.hash = y.hash AND x.f < y.f GROUP BY ALL),
-pairs AS (SELECT two.*, p.n n_a, q.n n_b, total.n n FROM two JOIN one p ON two.graph_id = p.graph_id AND a = p.f JOIN one q ON two.graph_id = q.graph_id AND b = q.f JOIN total ON total.graph_id = two.graph_id)
+spel
 """
 
 _TURNS = f"""
@@ -54,6 +47,28 @@ sc AS (SELECT query_id, example_id, {', '.join(f'{_clean(f"features[{i + 1}]")}
 led AS (SELECT x.query_id, x.example_id, {' + '.join(f'(SELECT count(*) = 0 FROM sc y WHERE y.query_id = x.query_id AND y.example_id <> x.example_id AND y.{s} >= x.{s})::INT' for s in _SCORES)} leads FROM sc x)
 """
 
+#: Ahead of each other example of the query, one after the other, on more than half of the six scores.
+_FIRST = f"""SELECT query_id, example_id FROM sc x WHERE NOT EXISTS (SELECT 1 FROM sc y WHERE y.query_id = x.query_id AND y.example_id <> x.example_id
+  AND {' + '.join(f'(x.{s} > y.{s})::INT' for s in _SCORES)} <= 3)"""
+_part = lambda x: f"CASE WHEN {x} IS NULL OR isnan({x}) OR {x} <= 0 THEN 0.25 WHEN {x} > 1 THEN {x} / 100 ELSE {x} END"
+_LAMBDAS = ["l", "g", "t", "b"]
+#: The weighted ideal-point ranking: cut at the tenth and ninetieth hundredth of the known values, norms, distances, closeness.
+_P4_RANKING = f"""
+ex AS (SELECT DISTINCT ON (example_id) example_id, query_id, coalesce(graph_id, '') graph_id, candidate, features FROM training_examples WHERE example_id IS NOT NULL AND query_id IS NOT NULL ORDER BY example_id),
+fl AS (SELECT path, authority, betweenness FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY updated_at DESC NULLS LAST) rn FROM files) WHERE rn = 1),
+fw AS (SELECT graph_id, {', '.join(f'{_part("lambda_" + s)} {s}' for s in _LAMBDAS)} FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY trained_at DESC NULLS LAST) rn FROM fusion_weights WHERE graph_id IS NOT NULL) WHERE rn = 1),
+long AS (SELECT query_id, example_id, graph_id, unnest([{', '.join(f"('{s}', {_clean(f'features[{i + 1}]')})" for i, s in enumerate(_SCORES[:4]))}, {', '.join(f"('{s}', {_clean('fl.' + s)})" for s in _SCORES[4:])}]) o FROM ex LEFT JOIN fl ON path = candidate),
+v AS (SELECT query_id, example_id, graph_id, o[1] score, nullif(o[2], -1) v FROM long),
+nth AS (SELECT query_id, score, v, row_number() OVER (PARTITION BY query_id, score ORDER BY v) rn, count(*) OVER (PARTITION BY query_id, score) n FROM v WHERE v IS NOT NULL),
+cuts AS (SELECT query_id, score, max(v) FILTER (rn = greatest(1, ceil(0.1::DOUBLE * n))) lo, max(v) FILTER (rn = greatest(1, ceil(0.9::DOUBLE * n))) hi FROM nth GROUP BY ALL),
+x AS (SELECT v.query_id, example_id, graph_id, score, coalesce(least(greatest(v, lo), hi), 0) x FROM v LEFT JOIN cuts USING (query_id, score)),
+ends AS (SELECT query_id, score, sqrt(sum(x * x)) norm, max(x) best, min(x) worst FROM x GROUP BY ALL),
+weighed AS (SELECT query_id, example_id, best, worst, x, norm, CASE WHEN fw.graph_id IS NULL THEN 1 / 6 ELSE CASE score WHEN 'l' THEN l WHEN 'g' THEN g WHEN 't' THEN t WHEN 'b' THEN b ELSE 0.25 END / (l + g + t + b + 0.5) END w
+  FROM x JOIN ends USING (query_id, score) LEFT JOIN fw USING (graph_id)),
+far AS (SELECT query_id, example_id, sqrt(sum(CASE WHEN norm > 0 THEN (w * (best - x) / norm) ** 2 ELSE 0 END)) up, sqrt(sum(CASE WHEN norm > 0 THEN (w * (worst - x) / norm) ** 2 ELSE 0 END)) down FROM weighed GROUP BY ALL),
+near AS (SELECT query_id, example_id, CASE WHEN up + down > 0 THEN round(down / (up + down), 9) ELSE 0.5 END closeness FROM far)
+"""
+
 _P5 = """
 kind AS (SELECT *, nullif(lower(trim(coalesce(entry_type, ''))), '') k, nullif(lower(trim(coalesce(role, ''))), '') r FROM session_entries WHERE session_id IS NOT NULL),
 msg AS (SELECT *, CASE WHEN coalesce(r, k) IN ('user', 'human') THEN 'user' WHEN coalesce(r, k) IN ('assistant', 'model') THEN 'assistant' END speaker FROM kind WHERE NOT coalesce(is_sidechain, false) AND (k IS NULL OR k IN ('user', 'assistant', 'message'))),
@@ -78,7 +93,8 @@ ORACLES: dict[str, str] = {
       FROM pairs LEFT JOIN latest USING (graph_id, a, b)""",
     "p3_found": f"WITH {_TURNS} SELECT session_id, first_turn, last_turn FROM found",
     "p3_runs": f'WITH {_TURNS} SELECT session_id, first_turn, last_turn, turns, "seconds" FROM found',
-    "p4_found": f"WITH {_P4} SELECT query_id, example_id FROM led WHERE leads > 3",
+    "p4_found": f"WITH {_P4} {_FIRST}",
+    "p4_ranking": f"WITH {_P4_RANKING} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY closeness DESC, example_id) - 1 AS place, example_id, closeness FROM near",
     "p5_found": f"WITH {_P5} SELECT session_id, msg_pos, entry_id FROM kept",
     "p5_transcripts": f"WITH {_P5} SELECT session_id, msg_pos, entry_id, speaker, content FROM kept",
 }

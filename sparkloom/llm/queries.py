@@ -45,14 +45,13 @@ def p3_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """The example of each query that leads in more than half of the scores."""
-    return ranking.clear_winners(_t(spark, d, "training_examples"), _t(spark, d, "files"))
+    """The example of each query that is ahead of each other one on more than half of the scores."""
+    return ranking.clear_winners(_t(spark, d, "training_examples"), _t(spark, d, "files")).drop("tries")
 
 
 def p4_ranking(spark: SparkSession, d: str) -> DataFrame:
     """All examples in the order of their query's weighted ideal-point ranking."""
-    ranked = ranking.ranked_candidates(_t(spark, d, "training_examples"), _t(spark, d, "files"), _t(spark, d, "fusion_weights"))
-    return ranked.withColumn("closeness", F.round("closeness", 9))
+    return ranking.ranked_candidates(_t(spark, d, "training_examples"), _t(spark, d, "files"), _t(spark, d, "fusion_weights"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

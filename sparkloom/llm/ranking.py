@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..shared import durable, join_stats, latest_by, positions
 
 #: Winsorising quantiles of a score within its query, and the accuracy of the quantile sketch (exact up to that many rows).
-TAIL, ACCURACY = 0.05, 10_000
+TAIL, ACCURACY = 0.10, 10_000
 FEATURES = ["lexical", "proximity", "coupling", "between_trained"]
 SCORES = [*FEATURES, "authority", "betweenness"]
 #: Weight of a score for which no usable weight is known.
@@ -21,28 +21,19 @@ def usable(score: Column) -> Column:
 
 
 def ideal_point(rows: DataFrame, group: str, item: str, scores: list[str], weights: dict[str, str] | None = None) -> DataFrame:
-    """``rows`` with closeness (0..1) and leads: how near each item is to the ideal point of its group.
+    """``rows`` with closeness (0..1): how near each item is to the ideal point of its group.
 
     Scores must be clean: null means missing, anything else is finite and not negative. Within a group each score is
     winsorised at its TAIL quantiles, a missing one counts as 0, the column is divided by its Euclidean norm and weighted;
-    closeness = d⁻ / (d⁺ + d⁻) from the distances to the best and the worst value of every column; 0.5 where all items of
-    the group are alike. ``leads`` counts the scores in which the item alone holds the best unclipped value, a missing
-    score being behind every other. Items must be unique; groups are never gathered: both passes over them are
+    closeness = d⁻ / (d⁺ + d⁻) from the distances to the best and the worst value of every column, to 9 digits; 0.5 where
+    all items of the group are alike. Items must be unique; groups are never gathered: both passes over them are
     aggregates that are joined back with hot groups salted. Rows with a null group or item are dropped.
     """
     base = durable(rows.where(F.col(group).isNotNull() & F.col(item).isNotNull()))
-    raw = {s: F.coalesce(F.col(s), F.lit(-1.0)) for s in scores}
-    first = base.groupBy(group).agg(
-        F.count("*").alias("n_items"),
-        *[F.percentile_approx(s, [TAIL, 1 - TAIL], ACCURACY).alias(f"q_{s}") for s in scores],
-        # the top item among ties by greatest and by least id: the same one only if the best value is held once
-        *[F.max(F.struct(raw[s].alias("v"), F.col(item).alias("i")))["i"].alias(f"hi_{s}") for s in scores],
-        *[F.max(F.struct(raw[s].alias("v"), (-F.col(item)).alias("i")))["i"].alias(f"lo_{s}") for s in scores],
-    )
+    first = base.groupBy(group).agg(F.count("*").alias("n_items"), *[F.percentile_approx(s, [TAIL, 1 - TAIL], ACCURACY).alias(f"q_{s}") for s in scores])
     with_bounds = join_stats(base, first, [group], "n_items", [item])
-    alone = sum((((F.col(f"hi_{s}") == F.col(item)) & (F.col(f"lo_{s}") == -F.col(item))).cast("int") for s in scores), F.lit(0))
     clip = {s: F.coalesce(F.least(F.greatest(F.col(s), F.col(f"q_{s}")[0]), F.col(f"q_{s}")[1]), F.lit(0.0)) for s in scores}
-    clipped = with_bounds.select(*rows.columns, alone.alias("leads"), *[clip[s].alias(f"x_{s}") for s in scores])
+    clipped = durable(with_bounds.select(*rows.columns, *[clip[s].alias(f"x_{s}") for s in scores]))
     second = clipped.groupBy(group).agg(
         F.count("*").alias("n_items"),
         *[F.sqrt(F.sum(F.col(f"x_{s}") * F.col(f"x_{s}"))).alias(f"norm_{s}") for s in scores],
@@ -58,8 +49,54 @@ def ideal_point(rows: DataFrame, group: str, item: str, scores: list[str], weigh
 
     far = full.withColumn("d_best", distance("best")).withColumn("d_worst", distance("worst"))
     spread = F.col("d_best") + F.col("d_worst")
-    closeness = F.when(spread > 0, F.col("d_worst") / spread).otherwise(0.5)
-    return far.select(*rows.columns, closeness.alias("closeness"), "leads")
+    closeness = F.when(spread > 0, F.round(F.col("d_worst") / spread, 9)).otherwise(0.5)
+    return far.select(*rows.columns, closeness.alias("closeness"))
+
+
+def _won(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """In how many scores a is strictly ahead of b; a missing score is behind every other."""
+    return sum(((F.coalesce(a[s], F.lit(-1.0)) > F.coalesce(b[s], F.lit(-1.0))).cast("int") for s in a), F.lit(0))
+
+
+def _against_nearest(rows: DataFrame, group: str, item: str, scores: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The nearest item to the ideal of each group, and every other row with how often it is ``ahead`` of it and ``behind`` it."""
+    each = F.struct(F.col(item).alias("item"), *[F.col(s) for s in scores])
+    nearest = durable(rows.groupBy(group).agg(F.count("*").alias("n_items"), F.max_by(each, F.struct("closeness", -F.col(item))).alias("top")))
+    met = join_stats(rows, nearest, [group], "n_items", [item]).where(F.col(item) != F.col("top.item"))
+    own, top = {s: F.col(s) for s in scores}, {s: F.col(f"top.{s}") for s in scores}
+    return nearest.select(group, F.col("top.item").alias(item), "top"), met.select(*rows.columns, _won(own, top).alias("ahead"), _won(top, own).alias("behind"))
+
+
+def majority_first(near: DataFrame, group: str, item: str, scores: list[str]) -> DataFrame:
+    """(group, item, tries) of the item that is ahead of each other item of its group on more than half of the scores.
+
+    ``near`` comes from ideal_point; items are tried in order of their closeness, ties by the lesser item, and ``tries`` says
+    how many were tried until the right one. The nearest item is met with every row of its group. If it is ahead of all of
+    them it is the one. Otherwise only a row that is itself ahead of it can be the one, so the next try is the nearest
+    of these few, and so on while any is left; the last one of a group is then met with every row of the group. Groups are
+    never paired with themselves: each try is one join of one row per group, with hot groups salted. A group of one item has
+    that item; a group without such an item has none.
+    """
+    near = durable(near.select(group, item, "closeness", *scores))
+    half = len(scores) // 2
+    nearest, met = _against_nearest(near, group, item, scores)
+    doubts = durable(met.where(F.col("behind") <= half))
+    found = nearest.join(doubts.select(group).distinct(), group, "left_anti").select(group, item, F.lit(1).alias("tries"))
+    rest, last, tries = doubts.where(F.col("ahead") > half).select(*near.columns), None, 1
+    while not rest.isEmpty():
+        tries += 1
+        nearest, met = _against_nearest(rest, group, item, scores)
+        rest = durable(met.where(F.col("ahead") > half).select(*near.columns))
+        ended = nearest.join(rest.select(group).distinct(), group, "left_anti").withColumn("tries", F.lit(tries))
+        last = ended if last is None else last.unionByName(ended)
+    if last is None:
+        return found
+    last = durable(last)
+    sizes = near.join(last.select(group), group, "left_semi").groupBy(group).agg(F.count("*").alias("n_items"))
+    met = join_stats(near, last.withColumnRenamed(item, "__tried").join(sizes, group), [group], "n_items", [item])
+    behind = _won({s: F.col(f"top.{s}") for s in scores}, {s: F.col(s) for s in scores})
+    lost = met.where((F.col(item) != F.col("top.item")) & (behind <= half)).select(group).distinct()
+    return found.unionByName(last.join(lost, group, "left_anti").select(group, item, "tries"))
 
 
 def candidate_scores(examples: DataFrame, files: DataFrame) -> DataFrame:
@@ -97,19 +134,16 @@ def weighted_candidates(scored: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def ranked_candidates(examples: DataFrame, files: DataFrame, weights: DataFrame) -> DataFrame:
-    """(query_id, place, example_id, closeness, leads): place 0 first.
-
-    An example that leads in more than half of the scores is placed first, whatever its closeness; the others follow by
-    closeness, ties by example_id.
-    """
+    """(query_id, place, example_id, closeness): all examples by closeness, place 0 first, ties by example_id."""
     rows = weighted_candidates(candidate_scores(examples, files), weights)
-    near = ideal_point(rows, "query_id", "example_id", SCORES, {s: f"w_{s}" for s in SCORES}).select("query_id", "example_id", "closeness", "leads")
-    order = [(F.col("leads") * 2 > len(SCORES)).desc(), F.col("closeness").desc(), F.col("example_id").asc()]
-    return positions(near, ["query_id"], order, "place").select("query_id", "place", "example_id", "closeness", "leads")
+    near = ideal_point(rows, "query_id", "example_id", SCORES, {s: f"w_{s}" for s in SCORES}).select("query_id", "example_id", "closeness")
+    return positions(near, ["query_id"], [F.col("closeness").desc(), F.col("example_id").asc()], "place").select("query_id", "place", "example_id", "closeness")
 
 
 def clear_winners(examples: DataFrame, files: DataFrame) -> DataFrame:
-    """(query_id, example_id) of the first of each query's unweighted ranking, where it leads in more than half of the scores."""
+    """(query_id, example_id, tries) of each query's example that is ahead of each other one on more than half of the scores.
+
+    Examples are tried in the order of the unweighted ideal-point ranking; see majority_first.
+    """
     near = ideal_point(candidate_scores(examples, files), "query_id", "example_id", SCORES)
-    top = near.groupBy("query_id").agg(F.max_by(F.struct("example_id", "leads"), F.struct(F.col("leads") * 2 > len(SCORES), "closeness", -F.col("example_id"))).alias("top"))
-    return top.select("query_id", "top.example_id", "top.leads").where(F.col("leads") * 2 > len(SCORES)).select("query_id", "example_id")
+    return majority_first(near, "query_id", "example_id", SCORES)

@@ -8,6 +8,7 @@ from collections import Counter
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import cooccur, distinctive, ranking, runs
 
@@ -158,9 +159,45 @@ def test_winners_equal_brute_force(spark, request, hot):
     want = set()
     for e, q, *_ in rows:
         others = [score[o] for o, p, *_ in rows if p == q and o != e]
-        if sum(all(score[e][k] > o[k] for o in others) for k in range(6)) > 3:
+        if all(sum(a > b for a, b in zip(score[e], o, strict=True)) > 3 for o in others):
             want.add((q, e))
-    assert got == want
+    assert got == want and want
+
+
+def _groups(seed, groups=150, items=20):
+    """Groups with one item that is good at five of six scores, in scales a thousandfold apart, and last at the other; it has the greatest id."""
+    rng, rows = random.Random(seed), []
+    for g in range(groups):
+        bad = rng.randrange(6)
+        for i in range(items):
+            x = [rng.random() for _ in range(6)] if i < items - 1 else [0.0 if k == bad else 0.9 + 0.1 * rng.random() for k in range(6)]
+            rows.append((g, g * items + i, *[v * 10.0 ** (3 * k) for k, v in enumerate(x)]))
+    return rows
+
+
+def test_first_by_closeness_is_mostly_the_first_by_majority(spark):
+    names = [f"s{k}" for k in range(6)]
+    rows = _groups(11)
+    df = spark.createDataFrame(rows, "g bigint, i bigint, " + ", ".join(f"{n} double" for n in names))
+    near = ranking.ideal_point(df, "g", "i", names)
+    got = {r.g: (r.i, r.tries) for r in ranking.majority_first(near, "g", "i", names).collect()}
+    by = {}
+    for g, i, *x in rows:
+        by.setdefault(g, []).append((i, x))
+    want = {g: i for g, m in by.items() for i, x in m if all(sum(a > b for a, b in zip(x, y, strict=True)) > 3 for j, y in m if j != i)}
+    assert {g: i for g, (i, _) in got.items()} == want
+    # the distances do the work: without them the first try would be the least id, which here is never the one
+    assert len(want) > 100 and sum(t == 1 for _, t in got.values()) >= 0.8 * len(want)
+
+
+def test_cycles_have_no_first_and_chains_end_in_theirs(spark):
+    names = ["a", "b", "c"]
+    cycle = [(1, 1, 3.0, 2.0, 1.0), (1, 2, 2.0, 1.0, 3.0), (1, 3, 1.0, 3.0, 2.0)]
+    chain = [(2, i, float(i), float(i), 0.0) for i in range(30)]
+    df = spark.createDataFrame(cycle + chain + [(3, 7, None, None, None)], "g bigint, i bigint, a double, b double, c double")
+    against = df.withColumn("closeness", F.when(F.col("g") == 2, -F.col("i").cast("double")).otherwise(0.5))
+    got = {r.g: r.i for r in ranking.majority_first(against, "g", "i", names).collect()}
+    assert got == {2: 29, 3: 7}
 
 
 def test_ranking_places_every_example_once_and_no_score_rules(spark):
