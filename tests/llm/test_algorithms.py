@@ -165,12 +165,12 @@ def test_winners_equal_brute_force(spark, request, hot):
 
 
 def _groups(seed, groups=150, items=20):
-    """Groups with one item that is good at five of six scores, in scales a thousandfold apart, and last at the other; it has the greatest id."""
+    """Groups with one item that is good at five of six scores, in scales a thousandfold apart, and anyhow at the other; it has the greatest id."""
     rng, rows = random.Random(seed), []
     for g in range(groups):
         bad = rng.randrange(6)
         for i in range(items):
-            x = [rng.random() for _ in range(6)] if i < items - 1 else [0.0 if k == bad else 0.9 + 0.1 * rng.random() for k in range(6)]
+            x = [rng.random() for _ in range(6)] if i < items - 1 else [rng.random() if k == bad else 0.9 + 0.1 * rng.random() for k in range(6)]
             rows.append((g, g * items + i, *[v * 10.0 ** (3 * k) for k, v in enumerate(x)]))
     return rows
 
