@@ -20,7 +20,14 @@ df AS (SELECT term, count(*) df FROM tf GROUP BY term)
 """
 
 _BASKETS = f"""
-spel
+spelled AS (SELECT graph_id, hash, ingested_at, files, row_number() OVER (PARTITION BY graph_id, hash ORDER BY ingested_at DESC NULLS LAST) rn FROM commits WHERE graph_id IS NOT NULL AND hash IS NOT NULL),
+item AS (SELECT DISTINCT graph_id, hash, {_path('f')} f FROM (SELECT graph_id, hash, unnest(files) f FROM spelled WHERE rn = 1)),
+counted AS (SELECT graph_id, hash FROM item WHERE f IS NOT NULL GROUP BY ALL HAVING count(*) BETWEEN 2 AND {{most}}),
+i AS (SELECT item.* FROM item JOIN counted USING (graph_id, hash) WHERE f IS NOT NULL),
+total AS (SELECT graph_id, count(*) n FROM counted GROUP BY 1),
+one AS (SELECT graph_id, f, count(*) n FROM i GROUP BY ALL),
+two AS (SELECT x.graph_id, x.f a, y.f b, count(*) together FROM i x JOIN i y ON x.graph_id = y.graph_id AND x.hash = y.hash AND x.f < y.f GROUP BY ALL),
+pairs AS (SELECT two.*, p.n n_a, q.n n_b, total.n n FROM two JOIN one p ON two.graph_id = p.graph_id AND a = p.f JOIN one q ON two.graph_id = q.graph_id AND b = q.f JOIN total ON total.graph_id = two.graph_id)
 """
 
 _TURNS = f"""
@@ -43,8 +50,7 @@ _clean = lambda x: f"CASE WHEN {x} >= 0 AND NOT isnan({x}) AND {x} < 'inf'::DOUB
 _P4 = f"""
 ex AS (SELECT DISTINCT ON (example_id) example_id, query_id, candidate, features FROM training_examples WHERE example_id IS NOT NULL AND query_id IS NOT NULL ORDER BY example_id),
 fl AS (SELECT path, authority, betweenness FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY updated_at DESC NULLS LAST) rn FROM files) WHERE rn = 1),
-sc AS (SELECT query_id, example_id, {', '.join(f'{_clean(f"features[{i + 1}]")} {s}' for i, s in enumerate(_SCORES[:4]))}, {', '.join(f'{_clean("fl." + s)} {s}' for s in _SCORES[4:])} FROM ex LEFT JOIN fl ON path = candidate),
-led AS (SELECT x.query_id, x.example_id, {' + '.join(f'(SELECT count(*) = 0 FROM sc y WHERE y.query_id = x.query_id AND y.example_id <> x.example_id AND y.{s} >= x.{s})::INT' for s in _SCORES)} leads FROM sc x)
+sc AS (SELECT query_id, example_id, {', '.join(f'{_clean(f"features[{i + 1}]")} {s}' for i, s in enumerate(_SCORES[:4]))}, {', '.join(f'{_clean("fl." + s)} {s}' for s in _SCORES[4:])} FROM ex LEFT JOIN fl ON path = candidate)
 """
 
 #: Ahead of each other example of the query, one after the other, on more than half of the six scores.
@@ -85,8 +91,8 @@ kept AS (SELECT session_id, msg_pos::INT msg_pos, entry_id, speaker, content FRO
 ORACLES: dict[str, str] = {
     "p1_found": f"WITH {_TERMS} SELECT tf.id AS symbol_id, term FROM tf JOIN n_terms USING (id) JOIN df USING (term) WHERE tf >= 3 AND tf * 20 >= n_terms AND df BETWEEN 2 AND 12",
     "p1_tf_idf": f"WITH {_TERMS} SELECT tf.id AS symbol_id, term, tf, n_terms::INT AS n_terms, df, round(tf / n_terms * (ln((1 + (SELECT count(*) FROM held)) / (1 + df)) + 1), 9) AS score FROM tf JOIN n_terms USING (id) JOIN df USING (term)",
-    "p2_found": f"WITH {_BASKETS} SELECT a AS file_a, b AS file_b FROM pairs WHERE together >= 5 AND together * n >= 5 * n_a * n_b",
-    "p2_pairs": f"""WITH {_BASKETS}, said AS (SELECT graph_id, least(x, y) a, greatest(x, y) b, co_changes, computed_at FROM (SELECT graph_id, {_path('file_a')} x, {_path('file_b')} y, co_changes, computed_at FROM change_coupling) WHERE x <> y),
+    "p2_found": f"WITH {_BASKETS.replace('{most}', '30')} SELECT a AS file_a, b AS file_b FROM pairs WHERE together >= 5 AND together * n >= 5 * n_a * n_b",
+    "p2_pairs": f"""WITH {_BASKETS.replace('{most}', '1000000000')}, said AS (SELECT graph_id, least(x, y) a, greatest(x, y) b, co_changes, computed_at FROM (SELECT graph_id, {_path('file_a')} x, {_path('file_b')} y, co_changes, computed_at FROM change_coupling) WHERE x <> y),
       latest AS (SELECT graph_id, a, b, co_changes reported FROM (SELECT *, row_number() OVER (PARTITION BY graph_id, a, b ORDER BY computed_at DESC NULLS LAST, co_changes DESC NULLS LAST) rn FROM said) WHERE rn = 1)
       SELECT pairs.graph_id, pairs.a, pairs.b, together, n_a, n_b, n, round(together * n / (n_a * n_b), 9) lift, round(together / (n_a + n_b - together), 9) jaccard, round(together / n_a, 9) conf_ab, round(together / n_b, 9) conf_ba,
         round(CASE WHEN together >= n THEN 1.0 ELSE ln(together * n / (n_a * n_b)) / -ln(together / n) END, 9) npmi, reported, coalesce(reported = together, false) agrees

@@ -23,12 +23,12 @@ def p1_tf_idf(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of files that change together at least 5 times and at least 5 times as often as chance."""
-    pairs = cooccur.file_association(_t(spark, d, "commits"), least=5)
+    pairs = cooccur.file_association(_t(spark, d, "commits"), least=5, most=30)
     return pairs.where(F.col("together") * F.col("n") >= 5 * F.col("n_a") * F.col("n_b")).select(F.col("a").alias("file_a"), F.col("b").alias("file_b"))
 
 
 def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Every pair of files with its association and what the earlier report said."""
+    """Every pair of files over all commits with at least two, with its association and what the earlier report said."""
     pairs = cooccur.settle_report(cooccur.file_association(_t(spark, d, "commits")), _t(spark, d, "change_coupling"))
     rounded = {c: F.round(c, 9) for c in ("lift", "jaccard", "conf_ab", "conf_ba", "npmi")}
     return pairs.withColumns(rounded).drop("reported_confidence")

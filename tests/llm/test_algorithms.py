@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.llm import cooccur, distinctive, ranking, runs
+from sparkloom.shared import durable
 
 pytestmark = pytest.mark.usefixtures("spark")
 SYMBOLS = "id bigint, name string, body_tokens array<string>, import_names array<string>, indexed_at timestamp, term string, df int"
@@ -56,14 +57,14 @@ def test_empty_tables_give_empty_results(spark):
     assert cooccur.association(baskets, "graph_id", "hash", "items").count() == 0
 
 
-@pytest.mark.parametrize(("block", "hot"), [(2, False), (3, True), (100, False)])
-def test_association_equals_brute_force(spark, request, block, hot):
+@pytest.mark.parametrize(("chunk", "hot"), [(2, False), (3, True), (100, False)])
+def test_association_equals_brute_force(spark, request, chunk, hot):
     if hot:
         request.getfixturevalue("no_broadcast")
     rng = random.Random(2)
     baskets = [("g" if i % 2 else "h", str(i), sorted({f"f{min(rng.randint(0, 30), rng.randint(0, 30))}" for _ in range(rng.randint(0, 40))})) for i in range(60)]
     df = spark.createDataFrame(baskets, "graph_id string, hash string, items array<string>")
-    got = {(r.graph_id, r.a, r.b): r for r in cooccur.association(df, "graph_id", "hash", "items", block=block).collect()}
+    got = {(r.graph_id, r.a, r.b): r for r in cooccur.association(df, "graph_id", "hash", "items", chunk=chunk).collect()}
     together, single, n = Counter(), Counter(), Counter(g for g, _, _ in baskets)
     for g, _, items in baskets:
         single.update((g, x) for x in items)
@@ -78,8 +79,31 @@ def test_association_equals_brute_force(spark, request, block, hot):
 def test_commit_baskets_unite_spellings_and_repeats(spark):
     schema = "graph_id string, hash string, files array<string>, ingested_at timestamp, items string"
     rows = [("g", "1", ["a/b.ts", "/workspace/a//b.ts", " ./a/c.ts ", None, " ", ""], None, ""), ("g", "1", ["a\\b.ts", "a/x/../c.ts"], None, ""), ("g", "2", ["only.ts"], None, ""), ("g", None, ["a", "b"], None, ""), ("g", "3", None, None, ""), ("g", "4", [f"{i:02}" for i in range(31)], None, "")]
-    got = [(r.hash, r["items"]) for r in cooccur.commit_baskets(spark.createDataFrame(rows, schema)).collect()]
-    assert got == [("1", ["a/b.ts", "a/c.ts"])]
+    got = {r.hash: r["items"] for r in cooccur.commit_baskets(spark.createDataFrame(rows, schema)).collect()}
+    assert got["1"] == ["a/b.ts", "a/c.ts"] and got.keys() == {"1", "4"} and len(got["4"]) == 31
+    assert [r.hash for r in cooccur.commit_baskets(spark.createDataFrame(rows, schema), most=30).collect()] == ["1"]
+
+
+def test_a_huge_basket_is_dealt_out(spark):
+    """One basket of 100,000 items: its products are complete and no task holds much more than its share."""
+    n, chunk = 100_000, 1024
+    one = spark.range(1).select(F.lit("g").alias("g"), F.sequence(F.lit(1), F.lit(n)).alias("ids"))
+    pieces = durable(cooccur.basket_chunks(one, ["g"], "ids", chunk).repartition(16, "g", "i"))
+    m = -(-n // chunk)
+    products = cooccur.chunk_products(pieces.hint("merge"), ["g"])
+    per = products.select(F.spark_partition_id().alias("p"), F.size("left").cast("long").alias("l"), F.size("right").cast("long").alias("r")).groupBy("p").agg(F.sum(F.col("l") * F.col("r")).alias("pairs"), F.count("*").alias("rows")).collect()
+    inside = pieces.agg(F.sum(F.size("chunk") * (F.size("chunk") - 1) / 2)).first()[0]
+    assert sum(r.rows for r in per) == m * (m - 1) // 2
+    assert sum(r.pairs for r in per) + inside == n * (n - 1) // 2
+    assert len(per) > 1 and max(r.pairs for r in per) < n * n / 4
+
+
+def test_items_whose_hashes_collide_get_another_seed(spark, monkeypatch):
+    baskets = spark.createDataFrame([("g", "1", ["a", "b", "c"]), ("g", "2", ["a", "c"])], "g string, h string, items array<string>")
+    real = F.xxhash64
+    monkeypatch.setattr(cooccur.F, "xxhash64", lambda seed, *c: F.when(seed == 0, F.lit(7).cast("long")).otherwise(real(seed, *c)))
+    got = {(r.a, r.b): r.together for r in cooccur.association(baskets, "g", "h", "items").collect()}
+    assert got == {("a", "b"): 1, ("a", "c"): 2, ("b", "c"): 1}
 
 
 def test_report_is_read_in_either_order_and_latest(spark):
