@@ -132,17 +132,34 @@ def _brute_runs(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("bits", [0, 1, 2, 16])
-def test_runs_equal_brute_force_at_every_range_width(spark, bits):
-    rng = random.Random(bits)
-    rows = [(rng.choice("sstu"), rng.randint(-9, 60), None) for _ in range(150)]
-    rows = [(s, p, (p // rng.choice([3, 5])) % 2) for s, p, _ in dict.fromkeys(rows)]
-    twice = rows + rows[:40]
-    df = spark.createDataFrame([(s, p, g, None) for s, p, g in twice], "k string, pos int, sig int, at timestamp")
-    got = sorted((r.k, r.first, r.last, r.events) for r in runs.collapse_runs(df, "k", "pos", ["sig"], "at", bits).collect())
+@pytest.mark.parametrize(("chunks", "batch", "wide"), [(1, 7, 1), (3, 1, 1), (7, 1000, 10**15), (40, 5, -(10**12))])
+def test_runs_equal_brute_force_at_every_chunk_width(spark, chunks, batch, wide):
+    """Also with positions of 64 bits, runs longer than a chunk, batches of one row and repeated rows."""
+    rng = random.Random(chunks)
+    rows = [(rng.choice("sstu"), rng.randint(-9, 60) * wide, None) for _ in range(150)]
+    rows = [(s, p, (p // wide // rng.choice([3, 5])) % 2 or None) for s, p, _ in dict.fromkeys(rows)] + [("long", p * wide, 1) for p in range(90)]
+    twice = rows + rows[:40] + rows[-60:]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        df = spark.createDataFrame([(s, p, g, None) for s, p, g in twice], "k string, pos bigint, sig int, at timestamp")
+        got = sorted((r.k, r.first, r.last, r.events) for r in runs.collapse_runs(df, "k", "pos", ["sig"], "at", chunks).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
     assert got == _brute_runs(rows)
 
 
+def test_times_of_a_run_are_the_known_ones(spark):
+    from datetime import datetime
+
+    at = lambda h: datetime(2024, 1, 1, h)
+    rows = [("s", 1, 1, at(3)), ("s", 1, 1, at(2)), ("s", 2, 1, None), ("s", 3, 1, at(5)), ("s", 4, 2, None), ("t", None, 1, at(1)), (None, 1, 1, at(1))]
+    df = spark.createDataFrame(rows, "k string, pos int, sig int, at timestamp")
+    for chunks in (1, 4):
+        got = sorted((r.first, r.last, r.events, r.started_at, r.ended_at) for r in runs.collapse_runs(df, "k", "pos", ["sig"], "at", chunks).collect())
+        assert got == [(1, 3, 3, at(2), at(5)), (4, 4, 1, None, None)]
+    assert runs.collapse_runs(df.limit(0), "k", "pos", ["sig"], "at").count() == 0
+
+
 def test_same_turns_whatever_spelling(spark):
     schema = "session_id string, turn_index int, ts timestamp, tools array<struct<name string, command string, path string>>, file_paths array<string>"
     rows = [
