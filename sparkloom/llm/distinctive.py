@@ -6,17 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import identifier_words
-from ..shared import join_stats, latest_by
+from ..shared import durable, join_stats, latest_by
 
 
 def term_counts(records: DataFrame, key: str, terms: str) -> DataFrame:
-    """(key, term, tf, n_terms) of records whose ``terms`` is an array; one row per distinct term of a record.
+    """(key, term, tf, n_terms) of records whose ``terms`` is an array; one row per distinct term of a record, and one with a null term per record.
 
     ``key`` must be unique. When the input is already partitioned by key, as after ``latest_by``, counting the exploded
-    terms needs no further exchange. Records with null or empty arrays give no rows; null elements are not counted.
+    terms needs no further exchange. The row with a null term stands for the record itself, also where it has no terms;
+    null elements are not counted.
     """
-    kept = records.select(key, F.filter(terms, lambda t: t.isNotNull()).alias("terms"))
-    long = kept.select(key, F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
+    kept = records.select(key, F.filter(F.coalesce(terms, F.array().cast("array<string>")), lambda t: t.isNotNull()).alias("terms"))
+    long = kept.select(key, F.size("terms").alias("n_terms"), F.explode(F.array_append("terms", F.lit(None).cast("string"))).alias("term"))
     return long.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("n_terms").alias("n_terms"))
 
 
@@ -24,13 +25,15 @@ def tf_idf(records: DataFrame, key: str, terms: str) -> DataFrame:
     """(key, term, tf, n_terms, df, score) for every term of every record.
 
     score = tf / n_terms * (ln((1 + N) / (1 + df)) + 1), N the number of records, df the number of records with the term.
-    df is counted over all records by partial aggregates and joined back; a term that fills a large share of the rows is
-    salted. Records without terms count in N and give no rows; an empty input gives an empty result.
+    The counts of terms in records are written once; N and df are aggregates of that table, and df is joined back to it, a
+    term that fills a large share of the rows being salted. Records without terms count in N and give no rows; an empty
+    input gives an empty result.
     """
-    counts = term_counts(records, key, terms)
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    total = records.agg(F.count("*").alias("n")).scalar()
-    joined = join_stats(counts, df, ["term"], "df", [key])
+    counts = durable(term_counts(records, key, terms))
+    total = counts.where(F.col("term").isNull()).agg(F.count("*")).first()[0]
+    used = counts.where(F.col("term").isNotNull())
+    df = used.groupBy("term").agg(F.count("*").alias("df"))
+    joined = join_stats(used, df, ["term"], "df", [key])
     idf = F.log((1 + total) / (1 + F.col("df"))) + 1
     return joined.select(key, "term", "tf", "n_terms", "df", (F.col("tf") / F.col("n_terms") * idf).alias("score"))
 
