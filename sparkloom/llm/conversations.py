@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import blank_to_null, join_stats, latest_by, positions
+from ..shared import blank_to_null, durable, join_stats, latest_by, positions
 
 #: A character that shows: not a separator, control, format or surrogate character, nor one of those that are drawn as nothing
 #: (combining joiner, Hangul and Mongolian fillers, variation selectors, braille blank, tags).
@@ -52,12 +52,13 @@ def conversations(entries: DataFrame) -> DataFrame:
     without the time that orders its session breaks it. A session is kept if its first message is the user's, each user
     message is directly followed by an assistant's, every content shows something, each filled parent is a message of the
     session, and turn_index, where it orders, runs 0, 1, 2, ... Positions of long sessions are counted over many tasks.
+    The folded messages and the placed ones, of which every check reads a few columns, are written once each.
     """
-    turns = fold_log(messages_of(entries).withColumn("version", -F.col("entry_id")), ["session_id", "uuid"], "version").drop("version")
+    turns = durable(fold_log(messages_of(entries).withColumn("version", -F.col("entry_id")), ["session_id", "uuid"], "version").drop("version"))
     sizes = turns.groupBy("session_id").agg(F.count("*").alias("n"), (F.count("turn_index") == F.count("*")).alias("by_turn"))
     keyed = join_stats(turns, sizes, ["session_id"], "n", ["uuid"])
     keyed = keyed.withColumn("k", F.when(F.col("by_turn"), F.col("turn_index").cast("long")).otherwise(F.unix_micros("ts")))
-    placed = positions(keyed.drop("n", "turn_index", "ts"), ["session_id"], [F.col("k"), F.col("entry_id"), F.col("uuid")], "msg_pos")
+    placed = durable(positions(keyed.drop("n", "turn_index", "ts"), ["session_id"], [F.col("k"), F.col("entry_id"), F.col("uuid")], "msg_pos"))
 
     is_user = F.col("speaker") == "user"
     replies = placed.where(~is_user).select("session_id", (F.col("msg_pos") - 1).alias("msg_pos"))
