@@ -15,7 +15,6 @@ from .bpe import TOKENIZERS, VOCABULARY, token_counts
 
 #: Context-size tiers: capacity, a half, a quarter, an eighth and all below. Containers of a step group.
 TIERS, GROUP = 4, 8
-RANKS = 1 << 44  # ranks of one length stay below this
 
 
 def tier_of(size: int, capacity: int) -> int:
@@ -26,92 +25,144 @@ def tier_of(size: int, capacity: int) -> int:
     return tier
 
 
-def plan_containers(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
-    """Container patterns [(size, copies), ...] with how many containers follow each, for ``counts`` items of each size.
+Pattern = list[tuple[int, int]]  # sizes and how many copies of each, longest first
 
-    Tiers are opened from the longest down. A container starts with the longest item left, and its gap is filled with the
-    longest items that still fit, which come from ever shorter tiers; before the last item is chosen, a pair that closes
-    the gap exactly is preferred. A pattern is repeated while all its sizes last, so the plan has at most about twice as
-    many patterns as there are sizes, however many items there are.
-    """
-    left = {s: n for s, n in counts.items() if n > 0 and 0 < s <= capacity}
-    sizes = sorted(left)
-    plan: list[tuple[list[tuple[int, int]], int]] = []
-    while sizes:
-        gap, used = capacity, {}
-        free = lambda s: left.get(s, 0) - used.get(s, 0)  # noqa: B023, E731
-        k = len(sizes)
-        while gap and (k := bisect_right(sizes, gap, hi=k)):
-            s = sizes[k - 1]
-            n = min(free(s), gap // s)
-            if not n:
+
+class _Stock:
+    """Items left of each size: how many, and the sorted sizes that are left."""
+
+    def __init__(self, counts: dict[int, int], low: int, high: int) -> None:
+        self.left = np.zeros(high + 1, np.int64)
+        for s, n in counts.items():
+            if low < s <= high and n > 0:
+                self.left[s] = n
+        self.sizes = np.flatnonzero(self.left).tolist()
+
+    def fill(self, gap: int) -> tuple[Pattern, int]:
+        """What is taken for one window with room ``gap``: ever the longest that fits; where nothing would fit behind it, two that end flush."""
+        used: dict[int, int] = {}
+        k = len(self.sizes)
+        while gap and (k := bisect_right(self.sizes, gap, hi=k)):
+            s = self.sizes[k - 1]
+            n = min(int(self.left[s]) - used.get(s, 0), gap // s)
+            if n <= 0:
                 k -= 1
                 continue
             rest = gap - n * s
-            if 0 < rest < sizes[0]:  # nothing would fit behind it: look for two items that end flush with the capacity
-                gap_here = gap - (n - 1) * s
-                pair = _closing_pair(sizes, free, gap_here, s)
-                if pair:
-                    if n > 1:
-                        used[s] = used.get(s, 0) + n - 1
-                    for p in pair:
-                        used[p] = used.get(p, 0) + 1
-                    gap = 0
-                    break
+            if 0 < rest < self.sizes[0] and (pair := self._closing_pair(gap - (n - 1) * s, s, used)):
+                used[s] = used.get(s, 0) + n - 1
+                for p in pair:
+                    used[p] = used.get(p, 0) + 1
+                gap = 0
+                break
             used[s] = used.get(s, 0) + n
             gap = rest
-        times = min(left[s] // n for s, n in used.items())
-        plan.append((sorted(used.items(), reverse=True), times))
-        for s, n in used.items():
-            left[s] -= n * times
-            if not left[s]:
-                del left[s]
-                sizes.remove(s)
-    return plan
-
+        return sorted(((s, n) for s, n in used.items() if n), reverse=True), gap
 
-def _closing_pair(sizes: list[int], free, gap: int, below: int, tries: int = 64) -> tuple[int, int] | None:
-    """Two available sizes that add up to ``gap``, the longer as long as possible."""
-    k = bisect_right(sizes, min(below, gap - 1))
-    for i in range(k - 1, max(-1, k - 1 - tries), -1):
-        a, b = sizes[i], gap - sizes[i]
-        if b > a:
+    def _closing_pair(self, gap: int, below: int, used: dict[int, int]) -> tuple[int, int] | None:
+        """Two sizes left that add up to ``gap``, the longer as long as possible but not above ``below``."""
+        top, half = min(below, gap - 1, len(self.left) - 1), -(-gap // 2)
+        if top < half:
             return None
-        if free(a) > (a == b) and free(b) > (a == b):
-            return a, b
-    return None
+        both = (self.left[half : top + 1] > 0) & (self.left[gap - top : gap - half + 1][::-1] > 0)
+        for a in (np.flatnonzero(both)[::-1] + half).tolist():
+            b = gap - a
+            if self.left[a] - used.get(a, 0) > (a == b) and self.left[b] - used.get(b, 0) > (a == b):
+                return a, b
+        return None
+
+    def lasts(self, pattern: Pattern) -> int:
+        """How many windows the stock can give the pattern to."""
+        return min(int(self.left[s]) // n for s, n in pattern)
+
+    def take(self, pattern: Pattern, times: int) -> None:
+        for s, n in pattern:
+            self.left[s] -= n * times
+            if not self.left[s]:
+                del self.sizes[bisect_right(self.sizes, s) - 1]
+
+
+def pack_tier(stock: _Stock, capacity: int) -> list[tuple[Pattern, int, int]]:
+    """Windows of one tier's own items: (pattern, how many windows, room left in each), longest items first."""
+    windows = []
+    while stock.sizes:
+        pattern, gap = stock.fill(capacity)
+        times = stock.lasts(pattern)
+        stock.take(pattern, times)
+        windows.append((pattern, times, gap))
+    return windows
+
+
+def fill_gaps(windows: list[tuple[Pattern, int, int]], shorter: _Stock) -> list[tuple[Pattern, int]]:
+    """The windows with their gaps filled from the shorter tiers; a group of windows is split where a size runs out."""
+    out: list[tuple[Pattern, int]] = []
+    for pattern, times, gap in windows:
+        while times:
+            extra, _ = shorter.fill(gap) if gap else ([], 0)
+            n = min(times, shorter.lasts(extra)) if extra else times
+            if extra:
+                shorter.take(extra, n)
+            out.append((pattern + extra, n))
+            times -= n
+    return out
+
+
+def plan_containers(counts: dict[int, int], capacity: int, tiers: int = TIERS) -> list[tuple[Pattern, int]]:
+    """Container patterns [(size, copies), ...] with how many containers follow each, for ``counts`` items of each size.
+
+    Sizes are routed to ``tiers``: above a half of the capacity, above a quarter, and so on, the last one taking all the rest.
+    From the longest tier down, a tier packs what is left of its own items into windows, whose gaps are then filled from
+    the shorter tiers, the longest that fit first. Patterns are repeated while their sizes last, so that their number
+    goes with that of the sizes, however many items there are.
+    """
+    borders = [capacity, *(capacity >> t for t in range(1, tiers)), 0]
+    plan: list[tuple[Pattern, int]] = []
+    left = {s: n for s, n in counts.items() if n > 0 and 0 < s <= capacity}
+    for high, low in zip(borders, borders[1:], strict=False):
+        windows = pack_tier(_Stock(left, low, high), capacity)
+        shorter = _Stock(left, 0, low)
+        plan += fill_gaps(windows, shorter)
+        left = {s: int(shorter.left[s]) for s in shorter.sizes}
+    return plan
 
 
 class Layout:
-    """Where the r-th item of each length goes: lookup arrays of all budgets, sent to the workers (a few rows per pattern)."""
+    """Where the r-th item of each length goes: lookup arrays of each budget, sent to the workers (a few rows per pattern)."""
 
     def __init__(self, counts: dict[int, dict[int, int]], capacities: list[int]) -> None:
-        rows, self.containers = [], np.zeros(len(capacities), np.int64)
-        self.width = max(capacities, default=0) + 1
+        self.containers, self.tables = np.zeros(len(capacities), np.int64), []
         for b, capacity in enumerate(capacities):
+            of_size = np.zeros(capacity + 2, np.int64)
+            for s, n in counts.get(b, {}).items():
+                of_size[s + 1] = n if s else 0
+            before = np.cumsum(of_size)  # items of lesser sizes: the r-th of size s is item before[s] + r of all
             plan = plan_containers(counts.get(b, {}), capacity)
             plan.sort(key=lambda p: -sum(n * s * s for s, n in p[0]))  # dearest attention first, for balanced step groups
             taken: dict[int, int] = {}
+            rows = []
             for items, times in plan:
                 offset = 0
                 for s, n in items:
-                    at = taken.get(s, 0)
-                    rows.append(((b * self.width + s) * RANKS + at, at, int(self.containers[b]), n, offset))
-                    taken[s] = at + n * times
+                    at = int(before[s]) + taken.get(s, 0)
+                    rows.append((at, int(self.containers[b]), n, offset))
+                    taken[s] = taken.get(s, 0) + n * times
                     offset += n * s
                 self.containers[b] += times
-        rows.sort()
-        self.start, self.first, self.base, self.copies, self.offset = (np.array(c, np.int64) for c in (zip(*rows, strict=True) if rows else ([], [], [], [], [])))
+            rows.sort()
+            first, base, copies, offset = (np.array(c, np.int64) for c in (zip(*rows, strict=True) if rows else ([], [], [], [])))
+            self.tables.append((before, first, base, copies, offset))
 
     def place(self, budget: np.ndarray, size: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(container, offset, step group) of items; those of size 0 are dealt out over all containers, at offset 0."""
         total = np.maximum(self.containers[budget], 1)
         container, offset = rank % total, np.zeros(len(rank), np.int64)
-        full = size > 0
-        row = np.searchsorted(self.start, (budget[full] * self.width + size[full]) * RANKS + rank[full], side="right") - 1
-        nth = rank[full] - self.first[row]
-        container[full] = self.base[row] + nth // self.copies[row]
-        offset[full] = self.offset[row] + nth % self.copies[row] * size[full]
+        for b, (before, first, base, copies, inside) in enumerate(self.tables):
+            own = np.flatnonzero((budget == b) & (size > 0))
+            nth = before[size[own]] + rank[own]
+            row = np.searchsorted(first, nth, side="right") - 1
+            nth -= first[row]
+            container[own] = base[row] + nth // copies[row]
+            offset[own] = inside[row] + nth % copies[row] * size[own]
         steps = -(-total // GROUP)
         lap, seat = container // steps, container % steps
         return container, offset, np.where(lap % 2 == 0, seat, steps - 1 - seat)
@@ -139,7 +190,10 @@ def packed(lengths: DataFrame, key: str, budgets: list[tuple[str, int]]) -> Data
     items = cut.select(key, "b", "piece", (F.col("piece") * F.col("cap")).alias("start"), F.least(F.col("cap"), F.col("n") - F.col("piece") * F.col("cap")).cast("int").alias("size"))
     ranked = positions(items, ["b", "size"], [F.col(key), F.col("piece")], "rank")
     counts: dict[int, dict[int, int]] = {}
-    for b, s, n in items.groupBy("b", "size").count().collect():  # at most the sum of the capacities
+    histogram = items.groupBy("b", "size").count().collect()
+    if len(histogram) > sum(c + 1 for _, c in budgets):
+        raise AssertionError("more lengths than the capacities allow")
+    for b, s, n in histogram:
         counts.setdefault(b, {})[s] = n
     layout = Layout(counts, [c for _, c in budgets])
 
