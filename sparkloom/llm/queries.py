@@ -79,6 +79,11 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(_t(spark, d, "documents"), "doc_id", "text").select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that look like others with a different text: their class and the number of such others."""
+    return lookalike.lookalike_classes(_t(spark, d, "documents"), "doc_id", "text")
+
+
 def p8_canonical(spark: SparkSession, d: str) -> DataFrame:
     """The canonical text of every document."""
     return lookalike.canonical_texts(_t(spark, d, "documents"), "doc_id", "text")
@@ -86,5 +91,5 @@ def p8_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_tf_idf, p2_found, p2_pairs, p3_found, p3_runs, p4_found, p4_ranking, p5_found, p5_transcripts, p6_ids, p7_packing, p8_found, p8_canonical)
+    for f in (p1_found, p1_tf_idf, p2_found, p2_pairs, p3_found, p3_runs, p4_found, p4_ranking, p5_found, p5_transcripts, p6_ids, p7_packing, p8_found, p8_classes, p8_canonical)
 }

@@ -155,15 +155,50 @@ def test_packing_of_nothing_and_of_empty_texts(spark):
     assert packing.packed(spark.createDataFrame([(1, 0), (2, None)], schema), "doc_id", [("a", 10)]).count() == 2
 
 
-def test_plan_stays_small_for_many_items():
-    counts = {s: 10**9 + s for s in range(1, 513)}
-    plan = packing.plan_containers(counts, 512)
+def _plan_is_whole(plan, counts, capacity):
     placed = {}
     for items, times in plan:
-        assert sum(s * n for s, n in items) <= 512
+        assert 0 < sum(s * n for s, n in items) <= capacity and times > 0
         for s, n in items:
             placed[s] = placed.get(s, 0) + n * times
-    assert placed == counts and len(plan) <= 3 * 512
+    assert placed == counts
+
+
+def test_plan_stays_small_for_many_items():
+    counts = {s: 10**9 + s for s in range(1, 513)}
+    plan = packing.plan_containers(counts, 512)
+    _plan_is_whole(plan, counts, 512)
+    assert len(plan) <= 3 * 512
+
+
+def test_tiers_steer_the_plan():
+    """Long windows are filled from shorter tiers; with one tier there is none to fill from, and the plan is another."""
+    counts = {60: 3, 30: 2, 27: 2, 20: 3, 9: 4, 3: 5}
+    plan = packing.plan_containers(counts, 100)
+    _plan_is_whole(plan, counts, 100)
+    assert [items[0][0] for items, _ in plan][:1] == [60]
+    windows = packing.pack_tier(packing._Stock(counts, 50, 100), 100)
+    assert windows == [([(60, 1)], 3, 40)]
+    filled = packing.fill_gaps(windows, packing._Stock(counts, 0, 50))
+    assert sum(t for _, t in filled) == 3 and all(sum(s * n for s, n in p) >= 99 for p, _ in filled)
+    rng = random.Random(8)
+    many = {s: rng.randint(1, 50) * (1000 // s) for s in range(1, 1001, 3)}
+    plans = [packing.plan_containers(many, 1000, tiers) for tiers in (1, 4)]
+    for p in plans:
+        _plan_is_whole(p, many, 1000)
+        assert sum(t for _, t in p) <= 1.01 * sum(s * n for s, n in many.items()) / 1000 + 1
+    assert plans[0] != plans[1]
+
+
+def test_layout_of_large_capacities():
+    counts = {b: {700_000: 2, 1: 10, 3: 2} for b in range(4)}
+    layout = packing.Layout(counts, [2_000_000] * 4)
+    import numpy as np
+
+    size, rank = np.array([700_000, 700_000, 1, 3]), np.array([0, 1, 9, 1])
+    for b in range(4):
+        container, offset, _ = layout.place(np.full(4, b), size, rank)
+        assert container.tolist() == [0] * 4 and len(set(offset.tolist())) == 4
 
 
 ALIKE = ["paypal", "pаypаl", "ｐａｙｐａｌ", "pay​pal", "p­aypal", "раураl"]
@@ -184,13 +219,50 @@ def test_canonical_forms():
 def test_canonical_form_is_its_own(text):
     own = lookalike.Canonicaliser(lookalike.spellings())
     once = own.canonical(text)
-    assert own.canonical(once) == once == lookalike.by_table(text)
+    assert own.canonical(once) == once and lookalike.by_table(once) == lookalike.by_table(text)
+
+
+PIECES = ["модуль", "мoдyль", "граф", "ｇｒａф", "вызов", "BЫЗOB", "paypal", "раураl", "e\u0301", "é", "ﬁ", "fi", "\u200b", "\xad", "\u0323", "\u0301", "\x01", " ", "\xa0", "-", "－", "≠", "=\u0338", "\ufe0f", "\U000e0001", "ΟΔΟΣ", "OΔOΣ", "q", "7", "Ⅷ", "ㅤ"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=6), st.lists(st.sampled_from(PIECES), max_size=6))
+def test_canonical_forms_are_equal_exactly_if_looks_are(left, right):
+    own = lookalike.Canonicaliser(lookalike.spellings())
+    a, b = "".join(left), "".join(right)
+    assert (own.canonical(a) == own.canonical(b)) == (lookalike.by_table(a) == lookalike.by_table(b))
+    assert own.canonical(own.canonical(a)) == own.canonical(a)
+
+
+def test_words_take_the_spelling_that_the_automaton_finds():
+    """Without the trie the table would leave a mixture of scripts."""
+    own = lookalike.Canonicaliser(lookalike.spellings())
+    plain, mixed = "система была после", "cиcтeмa былa пo\u200bcлe"
+    assert own.canonical(mixed) == own.canonical(plain) != lookalike.by_table(mixed)
+    assert own.canonical(mixed) == plain
+    assert lookalike.Canonicaliser(lookalike.SpellingTrie([])).canonical(mixed) == lookalike.by_table(mixed)
 
 
 def test_trie_finds_nearest_spelling_within_budget():
     trie = lookalike.SpellingTrie(iter(["cat", "car", "cart"]))
     assert trie.match("сat") == "cat" and trie.match("cab") is None
     assert trie.match("cab", 1.0) == "car" and trie.match("carts", 1.0) == "cart"
+    assert trie.match("ca", 1.0) == "car" and trie.match("crt", 1.0) == "cart" and trie.match("c", 1.0) is None
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_classes_say_how_many_rows_look_alike(spark, request, monkeypatch, hot):
+    if hot:
+        request.getfixturevalue("no_broadcast")
+        monkeypatch.setattr(lookalike, "CHUNK", 2)
+    texts = [*ALIKE, *ALIKE[:2], *UNLIKE, UNLIKE[0], None, "", "  "]
+    df = spark.createDataFrame([(i, t, b"x") for i, t in enumerate(texts)], "doc_id bigint, text string, look binary")
+    got = {r.doc_id: (r.class_id, r.links) for r in lookalike.lookalike_classes(df, "doc_id", "text").collect()}
+    pairs = lookalike.lookalike_pairs(df, "doc_id", "text").collect()
+    alike = [i for i, t in enumerate(texts) if t in ALIKE]
+    assert got == {i: (0, sum(texts[j] != texts[i] for j in alike)) for i in alike}
+    assert sum(n for _, n in got.values()) == 2 * len(pairs) == 2 * len({(r.a, r.b) for r in pairs})
+    assert lookalike.lookalike_classes(df.limit(0), "doc_id", "text").count() == 0
 
 
 @pytest.mark.parametrize("hot", [False, True])
