@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import directory
 from ..shared import ship
+from .graph import bounded
 from .parsers import FACTS, parse
 
 #: Confidence of the ways to resolve a call, transmission of aliases, locality of proximity.
 DIRECT, MEMBER, NEW, PROXIMITY, ALIAS_HOPS, LEAST_PROXIMITY = 0.95, 0.9, 0.95, 0.5, 5, 0.05
+#: Rows of class and base that a single task takes.
+MOST_BASES = 1_000_000
 EXTENSIONS = [".ts", ".tsx", ".js", ".jsx", ".mts", ".mjs"]
 
 
@@ -143,7 +146,7 @@ def satisfied_interfaces(methods: DataFrame, interfaces: DataFrame) -> DataFrame
 def linearise(bases: DataFrame) -> DataFrame:
     """(graph_id, class, place, ancestor): method resolution order (C3) of every class; classes without one give nothing.
 
-    ``bases``: graph_id, class, base, position. One task per graph of classes.
+    ``bases``: graph_id, class, base, position. One task per graph of classes, of up to MOST_BASES rows; more are an error.
     """
     ship(bases.sparkSession)
 
@@ -174,7 +177,8 @@ def linearise(bases: DataFrame) -> DataFrame:
         rows = [(pdf.graph_id.iloc[0], c, i, a) for c in sorted(parents) for i, a in enumerate(order(c) or [])]
         return pd.DataFrame(rows, columns=["graph_id", "class", "place", "ancestor"])
 
-    return bases.select("graph_id", "class", "base", "position").groupBy("graph_id").applyInPandas(run, "graph_id string, `class` string, place int, ancestor string")
+    kept = bounded(bases.select("graph_id", "class", "base", "position"), ["graph_id"], MOST_BASES, "bases")
+    return kept.groupBy("graph_id").applyInPandas(run, "graph_id string, `class` string, place int, ancestor string")
 
 
 def call_graph(resolved: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Graph algorithms on DataFrames: many graphs at once, each in a task of its own, or one large graph by relational rounds.
 
-Edges carry graph_id, src, dst and where used weight. A graph goes to a single task only up to MOST_EDGES edges; this is
-checked while the groups are formed, and larger graphs must use the relational forms (``hits_rounds``, traversal.components,
-traversal.reach, ``betweenness`` by source).
+Edges carry graph_id, src, dst and where used weight. A graph goes to a single task only up to MOST_EDGES edges, and for
+some kernels up to fewer nodes; both are counted before the groups are formed, and larger graphs must use the relational
+forms (``hits_rounds``, traversal.components, traversal.reach, ``betweenness_by_source``).
 """
 
 from __future__ import annotations
@@ -14,40 +14,62 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import durable, ship
+from ..shared import discard, durable, ship
 from . import kernels as K
 from .edges import real
 
 #: Edges of a graph that a single task takes.
 MOST_EDGES = 2_000_000
+#: Nodes of a graph for kernels with a bit set a node (40,000² bits are 200 MB), with a search a node, and with a scan of all nodes a step.
+MOST_BITS, MOST_SEARCHES, MOST_SCANS = 40_000, 20_000, 20_000
 #: Thresholds of roles, weight of edges in hub scores.
 ROLES = {"foundation": (0.6, 0.3), "orchestrator": (0.6, 0.3), "bridge": 0.3, "utility": (0.1, 0.6, 0.1)}
 TYPE_ONLY, DYNAMIC, BARREL, LEAST_SPECIFIC, SPECIFIC_BASE, STAR_NAMES = 0.7, 0.5, 0.3, 0.2, 6, 3
 
 
-def per_graph(edges: DataFrame, f: Callable[[int, list, np.ndarray, np.ndarray, np.ndarray], Iterator[tuple]], columns: str) -> DataFrame:
+def bounded(rows: DataFrame, keys: list[str], most: int, what: str) -> DataFrame:
+    """``rows`` as a durable table, after counting that no group of ``keys`` has more than ``most`` of them; else an error, before any group is formed."""
+    kept = durable(rows)
+    worst = kept.groupBy(*keys).agg(F.count("*").alias("n")).orderBy(F.col("n").desc()).first()
+    if worst is not None and worst.n > most:
+        raise ValueError(f"{worst.n} {what} in group {[worst[k] for k in keys]}, a task takes {most}; use the relational form for large groups")
+    return kept
+
+
+def per_graph(edges: DataFrame, f: Callable[..., Iterator[tuple]], columns: str, most_nodes: int | None = None, given: DataFrame | None = None) -> DataFrame:
     """Run f(n, names, src, dst, weight) once per graph_id; it yields tuples for ``columns``, graph_id is put in front.
 
-    Duplicate edges are summed before they reach the task. A graph of more than MOST_EDGES distinct edges ends in an error
-    that names the way for larger ones.
+    Duplicate edges are summed before they reach the task. A graph of more than MOST_EDGES distinct edges, or of more than
+    ``most_nodes`` nodes, ends in an error that names the way for larger ones, before any task gets a graph. With ``given``
+    (graph_id, node, value) f also gets the values of the graph's nodes as a dict; graphs without any get none.
     """
     ship(edges.sparkSession)
     names = [c.split()[0] for c in columns.split(",")]
     compact = real(edges).groupBy("graph_id", "src", "dst").agg(F.sum("weight").alias("weight")) if "weight" in edges.columns else real(edges).select("graph_id", "src", "dst").distinct().withColumn("weight", F.lit(1.0))
-    most = MOST_EDGES
+    compact = bounded(compact, ["graph_id"], MOST_EDGES, "edges")
+    if most_nodes is not None:
+        bounded(compact.select("graph_id", F.explode(F.array("src", "dst")).alias("node")).distinct(), ["graph_id"], most_nodes, "nodes")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError(f"graph {pdf.graph_id.iloc[0]!r} has over {most} edges; use the relational form for large graphs")
+    def run(pdf: pd.DataFrame, *values: dict) -> pd.DataFrame:
         nodes = sorted(set(pdf.src) | set(pdf.dst))
         at = {v: i for i, v in enumerate(nodes)}
         pdf = pdf.sort_values(["src", "dst"])
         src, dst = pdf.src.map(at).to_numpy(np.int64), pdf.dst.map(at).to_numpy(np.int64)
-        out = pd.DataFrame(list(f(len(nodes), nodes, src, dst, pdf.weight.to_numpy(float))), columns=names)
+        out = pd.DataFrame(list(f(len(nodes), nodes, src, dst, pdf.weight.to_numpy(float), *values)), columns=names)
         out.insert(0, "graph_id", pdf.graph_id.iloc[0])
         return out
 
-    return compact.groupBy("graph_id").applyInPandas(run, f"graph_id string, {columns}")
+    schema = f"graph_id string, {columns}"
+    if given is None:
+        return compact.groupBy("graph_id").applyInPandas(run, schema)
+
+    def run_both(pdf: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty:
+            return pd.DataFrame({c: [] for c in ["graph_id", *names]}, dtype=object)
+        return run(pdf, dict(zip(values.node, values.value, strict=True)))
+
+    by = given.groupBy("graph_id", "node").agg(F.max("value").alias("value"))
+    return compact.groupBy("graph_id").cogroup(by.groupBy("graph_id")).applyInPandas(run_both, schema)
 
 
 def edge_weight(names: Column, is_type_only: Column, is_dynamic: Column, src_barrel: Column, dst_barrel: Column) -> Column:
@@ -79,13 +101,14 @@ def hits_rounds(edges: DataFrame, rounds: int = 30, epsilon: float = 1e-6) -> Da
     for _ in range(rounds):
         into = e.join(x.select("graph_id", F.col("node").alias("src"), "h"), ["graph_id", "src"]).groupBy("graph_id", F.col("dst").alias("node")).agg(F.sum(F.col("h") * F.col("w")).alias("sa"))
         outof = e.join(x.select("graph_id", F.col("node").alias("dst"), "a"), ["graph_id", "dst"]).groupBy("graph_id", F.col("src").alias("node")).agg(F.sum(F.col("a") * F.col("w")).alias("sh"))
-        step = x.join(into, ["graph_id", "node"], "left").join(outof, ["graph_id", "node"], "left")
+        step = x.drop("oa", "oh").join(into, ["graph_id", "node"], "left").join(outof, ["graph_id", "node"], "left")
         base = K.TELEPORT / F.col("n")
         step = step.withColumns({"na": base + (1 - K.TELEPORT) * F.coalesce("sa", F.lit(0.0)), "nh": base + (1 - K.TELEPORT) * F.coalesce("sh", F.lit(0.0))})
         norm = step.groupBy("graph_id").agg(F.sqrt(F.sum(F.col("na") * F.col("na"))).alias("la"), F.sqrt(F.sum(F.col("nh") * F.col("nh"))).alias("lh"))
         new = durable(step.join(norm, "graph_id").select("graph_id", "node", "n", (F.col("na") / F.col("la")).alias("a"), (F.col("nh") / F.col("lh")).alias("h"), F.col("a").alias("oa"), F.col("h").alias("oh")))
+        discard(x)
         moved = new.agg(F.max(F.abs(F.col("a") - F.col("oa")) + F.abs(F.col("h") - F.col("oh")))).first()[0]
-        x = new.drop("oa", "oh")
+        x = new
         if moved is None or moved < epsilon:
             break
     ends = x.groupBy("graph_id").agg(F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("h").alias("h0"), F.max("h").alias("h1"))
@@ -102,7 +125,7 @@ def role(authority: Column, hub: Column, is_barrel: Column | None = None) -> Col
 
 def betweenness(edges: DataFrame) -> DataFrame:
     """(graph_id, node, betweenness) over all sources, each graph in one task."""
-    return per_graph(edges, lambda n, names, src, dst, w: zip(names, K.betweenness(n, src, dst).tolist(), strict=True), "node string, betweenness double")
+    return per_graph(edges, lambda n, names, src, dst, w: zip(names, K.betweenness(n, src, dst).tolist(), strict=True), "node string, betweenness double", MOST_SEARCHES)
 
 
 def betweenness_by_source(edges: DataFrame, share: float = 1.0, seed: int = 1) -> DataFrame:
@@ -111,7 +134,7 @@ def betweenness_by_source(edges: DataFrame, share: float = 1.0, seed: int = 1) -
     ``share`` below 1 samples sources by hash; sums are scaled by the greatest, so the scale does not change.
     """
     ship(edges.sparkSession)
-    e = real(edges).select("graph_id", "src", "dst").distinct()
+    e = bounded(real(edges).select("graph_id", "src", "dst").distinct(), ["graph_id"], MOST_EDGES, "edges")
     nodes = e.select("graph_id", F.col("src").alias("node")).unionByName(e.select("graph_id", F.col("dst").alias("node"))).distinct()
     if share < 1:
         nodes = nodes.where(F.pmod(F.xxhash64("graph_id", "node", F.lit(seed)), F.lit(1_000_000)) < share * 1_000_000)
@@ -152,7 +175,7 @@ def cycle_report(edges: DataFrame, most: int = 10) -> DataFrame:
 
 def chokepoints(edges: DataFrame) -> DataFrame:
     """(graph_id, node, upstream, downstream)."""
-    return per_graph(edges, lambda n, names, src, dst, w: ((names[v], u, x) for v, u, x in K.chokepoints(n, src, dst)), "node string, upstream int, downstream int")
+    return per_graph(edges, lambda n, names, src, dst, w: ((names[v], u, x) for v, u, x in K.chokepoints(n, src, dst)), "node string, upstream int, downstream int", MOST_BITS)
 
 
 def topology(edges: DataFrame) -> DataFrame:
@@ -167,7 +190,7 @@ def critical_chain(edges: DataFrame) -> DataFrame:
 
 def feedback_arcs(edges: DataFrame) -> DataFrame:
     """(graph_id, src, dst): edges whose removal leaves no cycle."""
-    return per_graph(edges, lambda n, names, src, dst, w: ((names[a], names[b]) for a, b in K.feedback_arcs(n, src, dst)), "src string, dst string")
+    return per_graph(edges, lambda n, names, src, dst, w: ((names[a], names[b]) for a, b in K.feedback_arcs(n, src, dst)), "src string, dst string", MOST_SCANS)
 
 
 def dominators(edges: DataFrame, entry: str) -> DataFrame:
@@ -192,15 +215,16 @@ def diverse_paths(edges: DataFrame, start: str, end: str, k: int = 3) -> DataFra
     return per_graph(edges, f, "rank int, path string, cost double")
 
 
-def katz(edges: DataFrame, seeds: dict[str, float], rounds: int = K.KATZ_ROUNDS, epsilon: float = K.KATZ_EPSILON) -> DataFrame:
-    """(graph_id, node, score) of nodes that seed mass reaches."""
+def katz(edges: DataFrame, seeds: dict[str, float] | DataFrame, rounds: int = K.KATZ_ROUNDS, epsilon: float = K.KATZ_EPSILON) -> DataFrame:
+    """(graph_id, node, score) of nodes that seed mass reaches; ``seeds`` are those of every graph, or a table graph_id, node, value."""
+    shared = seeds if isinstance(seeds, dict) else None
 
-    def f(n, names, src, dst, w):
+    def f(n, names, src, dst, w, own=None):
         at = {v: i for i, v in enumerate(names)}
-        x = K.katz(n, src, dst, w, {at[v]: s for v, s in seeds.items() if v in at}, rounds, epsilon)
+        x = K.katz(n, src, dst, w, {at[v]: float(s) for v, s in (own if shared is None else shared).items() if v in at}, rounds, epsilon)
         return ((names[v], float(x[v])) for v in range(n) if x[v] > 0)
 
-    return per_graph(edges, f, "node string, score double")
+    return per_graph(edges, f, "node string, score double", given=None if shared is not None else seeds)
 
 
 def absorbing_flow(edges: DataFrame, entry: str, absorbing: list[str], steps: int = K.FLOW_STEPS, least: float = 0.01) -> DataFrame:

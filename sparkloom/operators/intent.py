@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import dot
+from ..shared import durable
 from . import graph as G
 from . import kernels as K
 from . import retrieval as R
@@ -125,18 +126,16 @@ def strongest_paths(edges: DataFrame, starts: dict[str, float], least: float = R
 
 
 def reseeded(edges: DataFrame, scores: DataFrame, starts: dict[str, float]) -> DataFrame:
-    """Katz scores once more from nodes of high betweenness that the first pass hardly reached; the greater score counts.
+    """Katz scores once more from nodes of high betweenness that the first pass hardly reached, each graph from its own; the greater score counts.
 
     ``scores``: graph_id, node, betweenness. High is above the element at floor(.75 · (n - 1)) of the graph's sorted values.
     """
-    first = G.katz(edges, starts)
+    first = durable(G.katz(edges, starts))
     ordered = scores.groupBy("graph_id").agg(F.array_sort(F.collect_list("betweenness")).alias("all"))
     limit = ordered.select("graph_id", F.element_at("all", (F.floor(RESEED_QUANTILE * (F.size("all") - 1)) + 1).cast("int")).alias("limit"))
     weak = scores.join(limit, "graph_id").join(first, ["graph_id", "node"], "left").where((F.col("betweenness") > F.col("limit")) & (F.coalesce("score", F.lit(0.0)) < RESEED_BELOW))
-    more = {r.node: float(r.betweenness) for r in weak.select("node", "betweenness").collect()}  # nodes of one task-sized graph
-    if not more:
-        return first
-    return first.unionByName(G.katz(edges, more)).groupBy("graph_id", "node").agg(F.max("score").alias("score"))
+    again = G.katz(edges, durable(weak.select("graph_id", "node", F.col("betweenness").alias("value"))))
+    return first.unionByName(again).groupBy("graph_id", "node").agg(F.max("score").alias("score"))
 
 
 def flows(edges: DataFrame, entries: dict[str, float], ends: list[str], community: dict[str, int] | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import jaccard
 from ..shared import ship
 from . import retrieval as R
+from .graph import bounded
 
 #: Features, defaults, learning rate, rounds, penalty, negatives, selection and vector sizes.
 FEATURES = ["lexical", "proximity", "coupling", "between"]
@@ -18,6 +19,8 @@ RATE, ROUNDS, PENALTY, NEGATIVES, KEEP_OVER, KEEP_MOST, SUPPRESS, STALE_COMMITS
 RANK, OVERSAMPLE, POWER, LEAST_FILES = 32, 10, 2, 50
 #: Labelled rows from which a model is fitted: a bounded sample by hash, all of them up to that many.
 SAMPLE = 200_000
+#: Pairs of item and name of a graph that a single task takes.
+MOST_PAIRS = 5_000_000
 
 
 def path_similarity(a: Column, b: Column) -> Column:
@@ -66,7 +69,7 @@ def fusion_weights(examples: DataFrame, group: str, features: list[str] = FEATUR
     known = examples.where(F.col(label).isNotNull()).select(group, F.col(label).cast("double").alias("__y"), *[F.coalesce(F.when(~F.isnan(f), F.col(f)), F.lit(0.0)).alias(f) for f in features])
     size = known.groupBy(group).agg(F.count("*").alias("__n"))
     part = F.pmod(F.xxhash64(*features, "__y"), F.lit(1_000_003)) < F.lit(1_000_003.0) * sample / F.col("__n")
-    bounded = known.join(size, group).where((F.col("__n") <= sample) | part)
+    sampled = known.join(size, group).where((F.col("__n") <= sample) | part)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([*features, "__y"])
@@ -74,7 +77,7 @@ def fusion_weights(examples: DataFrame, group: str, features: list[str] = FEATUR
         return pd.DataFrame([[pdf[group].iloc[0], len(pdf), *w]], columns=[group, "n_examples", *features])
 
     kind = examples.schema[group].dataType.simpleString()
-    return bounded.groupBy(group).applyInPandas(fit, f"{group} {kind}, n_examples bigint, " + ", ".join(f"{f} double" for f in features))
+    return sampled.groupBy(group).applyInPandas(fit, f"{group} {kind}, n_examples bigint, " + ", ".join(f"{f} double" for f in features))
 
 
 def fuse(scores: DataFrame, lambdas: dict[str, float] | None = None, commits_behind: int = 0) -> DataFrame:
@@ -96,7 +99,7 @@ def select(fused: DataFrame) -> DataFrame:
 
 
 def latent_vectors(incidence: DataFrame, rank: int = RANK, least: int = LEAST_FILES, seed: int = 1) -> DataFrame:
-    """(graph_id, item, vector) from a randomised decomposition of the items' names; graphs under ``least`` items give nothing.
+    """(graph_id, item, vector) from a randomised decomposition of the items' names; graphs under ``least`` items give nothing, one of more than MOST_PAIRS pairs an error.
 
     ``incidence``: graph_id, item, name. Only inner products of the vectors mean anything, as signs and turns are free.
     """
@@ -118,7 +121,8 @@ def latent_vectors(incidence: DataFrame, rank: int = RANK, least: int = LEAST_FI
         v = (q @ u[:, :rank]) * s[:rank]
         return pd.DataFrame({"graph_id": pdf.graph_id.iloc[0], "item": items, "vector": list(v)})
 
-    return incidence.select("graph_id", "item", "name").distinct().groupBy("graph_id").applyInPandas(decompose, "graph_id string, item string, vector array<double>")
+    kept = bounded(incidence.select("graph_id", "item", "name").distinct(), ["graph_id"], MOST_PAIRS, "pairs of item and name")
+    return kept.groupBy("graph_id").applyInPandas(decompose, "graph_id string, item string, vector array<double>")
 
 
 def _gather(into: np.ndarray, of: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:

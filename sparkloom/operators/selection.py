@@ -1,4 +1,4 @@
-"""Choosing within a budget: greedy cover, knapsack and sections. One group is one task; groups are bounded by the caller's candidates."""
+"""Choosing within a budget: greedy cover, knapsack and sections. One group is one task, of up to MOST_CANDIDATES rows; that is counted before."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import ship
+from .graph import bounded
 
 #: Token budget, decay and hops of coverage, least gain, snapshot factors, characters a token.
 TOKENS, DECAY, HOPS, LEAST_GAIN, TYPE_FACTOR, COUNT_FACTOR, SECOND_OF_FILE = 1500, 0.8, 2, 0.05, 1.3, 0.15, 0.5
@@ -22,11 +23,6 @@ def token_estimate(text: Column) -> Column:
     return F.coalesce(F.ceil(n / F.when(symbols > DENSE_SYMBOLS * n, CHARS_DENSE).otherwise(CHARS_PLAIN)), F.lit(0))
 
 
-def _bounded(pdf: pd.DataFrame) -> None:
-    if len(pdf) > MOST_CANDIDATES:
-        raise ValueError(f"over {MOST_CANDIDATES} candidates in a group; filter them first")
-
-
 def greedy_cover(near: DataFrame, costs: DataFrame, budget: int = TOKENS) -> DataFrame:
     """(group, place, item, cost, gain): items by gain over cost until the budget is full or a ratio falls under 5 % of the first.
 
@@ -37,7 +33,6 @@ def greedy_cover(near: DataFrame, costs: DataFrame, budget: int = TOKENS) -> Dat
     x = near.where(F.col("hops") <= HOPS).join(costs, ["group", "item"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        _bounded(pdf)
         reach = {i: [(c, DECAY**h) for c, h in zip(g.covered, g.hops, strict=True)] for i, g in pdf.groupby("item", sort=True)}
         cost = pdf.groupby("item").cost.first().to_dict()
         have: dict = {}
@@ -57,7 +52,7 @@ def greedy_cover(near: DataFrame, costs: DataFrame, budget: int = TOKENS) -> Dat
         done.insert(0, "group", pdf["group"].iloc[0])
         return done
 
-    return x.groupBy("group").applyInPandas(run, "`group` string, place int, item string, cost int, gain double")
+    return bounded(x, ["group"], MOST_CANDIDATES, "candidates").groupBy("group").applyInPandas(run, "`group` string, place int, item string, cost int, gain double")
 
 
 def knapsack(items: DataFrame, budget: int) -> DataFrame:
@@ -70,7 +65,6 @@ def knapsack(items: DataFrame, budget: int) -> DataFrame:
     x = items.where("tokens > 0").withColumn("value", value)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        _bounded(pdf)
         pdf = pdf.assign(ratio=pdf.value / pdf.tokens).sort_values(["ratio", "item"], ascending=[False, True])
         again = pdf.duplicated("file")
         pdf["ratio"] = pdf.ratio * again.map({True: SECOND_OF_FILE, False: 1.0})
@@ -82,7 +76,7 @@ def knapsack(items: DataFrame, budget: int) -> DataFrame:
             state.append("kept" if fits else "deferred")
         return pdf.assign(state=state)[["group", "item", "file", "tokens", "state"]]
 
-    return x.groupBy("group").applyInPandas(run, "`group` string, item string, file string, tokens int, state string")
+    return bounded(x, ["group"], MOST_CANDIDATES, "candidates").groupBy("group").applyInPandas(run, "`group` string, item string, file string, tokens int, state string")
 
 
 def sections(rows: DataFrame, budget: int) -> DataFrame:
@@ -90,7 +84,6 @@ def sections(rows: DataFrame, budget: int) -> DataFrame:
     ship(rows.sparkSession)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        _bounded(pdf)
         pdf = pdf.sort_values(["priority", "section"])
         left, keep = budget, []
         for p, n in zip(pdf.priority, pdf.tokens, strict=True):
@@ -99,4 +92,4 @@ def sections(rows: DataFrame, budget: int) -> DataFrame:
             keep.append(bool(fits))
         return pdf.assign(kept=keep)[["group", "section", "priority", "tokens", "kept"]]
 
-    return rows.groupBy("group").applyInPandas(run, "`group` string, section string, priority int, tokens int, kept boolean")
+    return bounded(rows, ["group"], MOST_CANDIDATES, "sections").groupBy("group").applyInPandas(run, "`group` string, section string, priority int, tokens int, kept boolean")

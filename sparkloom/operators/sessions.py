@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import plain_paths
-from ..shared import join_stats, latest_by, running_sum
+from ..shared import durable, join_stats, latest_by, running_sum
 
 #: Tools that edit and that read, commands that run tests, prices a million tokens, streak and call limits.
 EDIT, READ = ["edit", "write", "multiedit", "notebookedit"], ["read", "grep", "glob"]
@@ -38,7 +38,11 @@ def turn_facts(turns: DataFrame) -> DataFrame:
 
 
 def phases(facts: DataFrame) -> DataFrame:
-    """``facts`` with phase: explore before the first edit (always without edits), tail after the last, edit between."""
+    """``facts`` with phase: explore before the first edit (always without edits), tail after the last, edit between.
+
+    The slim facts are written once: the wide turns are scanned and exchanged a single time, whatever reads the phases.
+    """
+    facts = durable(facts)
     ends = facts.groupBy("session_id").agg(F.count("*").alias("n_turns"), F.min(F.when(F.col("is_edit"), F.col("turn_index"))).alias("first_edit"), F.max(F.when(F.col("is_edit"), F.col("turn_index"))).alias("last_edit"))
     x = join_stats(facts, ends, ["session_id"], "n_turns", ["turn_index"])
     at = F.col("turn_index")
@@ -112,7 +116,7 @@ def call_limits(calls: DataFrame, order: list[Column], streak: int = STREAK, bud
     Islands of equal commands come from a running count of changes, which compares each call with the one before it
     through its position.
     """
-    from ..shared import durable, positions
+    from ..shared import positions
 
     at = durable(positions(calls, ["session_id"], order, "place"))
     before = at.select("session_id", (F.col("place") + 1).alias("place"), F.col("command").alias("__c"), F.col("is_edit").alias("__e"))

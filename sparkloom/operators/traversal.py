@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..shared import durable
+from ..shared import discard, durable
 from .edges import TEST_FILE, real
 
 
@@ -36,20 +36,20 @@ def closure(edges: DataFrame, starts: DataFrame | None = None, depth: int = 5, b
     return out if keep_all else out.groupBy("graph_id", "start", "node").agg(F.min("depth").alias("depth"))
 
 
-def reach(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """(graph_id, start, node): full reachability by path doubling; the longest path of 2^n hops takes n rounds.
+def reach(edges: DataFrame) -> DataFrame:
+    """(graph_id, start, node): full reachability by path doubling; the longest path of 2^n hops takes n rounds, and nothing is cut off.
 
-    Each round is written to the shared folder. The result itself may be quadratic in the nodes of a graph, as asked for.
+    Each round is written to the shared folder and the one before removed. The result itself may be quadratic in the nodes
+    of a graph, as asked for.
     """
     known = durable(real(edges).select("graph_id", F.col("src").alias("start"), F.col("dst").alias("node")).distinct())
-    n = known.count()
-    for _ in range(most_rounds):
+    n, m = -1, known.count()
+    while m > n:
         left = known.select("graph_id", "start", F.col("node").alias("mid"))
         longer = left.join(known.select("graph_id", F.col("start").alias("mid"), "node"), ["graph_id", "mid"]).select("graph_id", "start", "node")
-        known = durable(known.unionByName(longer).distinct())
-        if (m := known.count()) == n:
-            break
-        n = m
+        before, known = known, durable(known.unionByName(longer).distinct())
+        n, m = m, known.count()
+        discard(before)
     return known
 
 
@@ -67,11 +67,13 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     e = real(edges).select("graph_id", "src", "dst").where("src <> dst").distinct().join(of("src"), ["graph_id", "src"], "left_semi").join(of("dst"), ["graph_id", "dst"], "left_semi")
     links = durable(e.select("graph_id", "src", "dst").unionByName(e.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     while not links.isEmpty():
+        before = (label, links)
         root = _ends(durable(links.groupBy("graph_id", "src").agg(F.min("dst").alias("to")).where("to < src").withColumnRenamed("src", "component")))
         label = durable(label.join(root, ["graph_id", "component"], "left").select("graph_id", "node", F.coalesce("to", "component").alias("component")))
         for end in ("src", "dst"):
             links = links.join(root.withColumnRenamed("component", end), ["graph_id", end], "left").withColumn(end, F.coalesce("to", end)).drop("to")
         links = durable(links.where("src <> dst").select("graph_id", "src", "dst").distinct())
+        discard(*before, root)
     return label
 
 
@@ -79,10 +81,11 @@ def _ends(hooks: DataFrame) -> DataFrame:
     """(graph_id, component, to) with ``to`` at the end of its chain of hooks; each pass doubles what a hook spans. Every hook leads to a lesser name, so there are no cycles."""
     while True:
         onward = hooks.select("graph_id", F.col("component").alias("to"), F.col("to").alias("further"))
-        new = durable(hooks.join(onward, ["graph_id", "to"], "left"))
-        hooks = new.select("graph_id", "component", F.coalesce("further", "to").alias("to"))
-        if new.where("further IS NOT NULL").isEmpty():
-            return hooks
+        new = durable(hooks.join(onward, ["graph_id", "to"], "left").select("graph_id", "component", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")))
+        discard(hooks)
+        if new.where("moved").isEmpty():
+            return new.drop("moved")
+        hooks = new.drop("moved")
 
 
 def two_cycles(edges: DataFrame) -> DataFrame:
