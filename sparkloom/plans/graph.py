@@ -293,9 +293,17 @@ def cycle_report(spark: SparkSession, d: str) -> DataFrame:
     return G.cycle_report(trade_graph(spark, d))
 
 
-@query()
+def _components_sql(rounds: int = 12) -> str:
+    """Least label of the neighbourhood, round by round; the supplier-part graph is settled long before the last one."""
+    steps = ["l0 AS (SELECT DISTINCT x id, x c FROM u)"]
+    for i in range(rounds):
+        steps.append(f"l{i + 1} AS MATERIALIZED (SELECT l.id, least(l.c, min(n.c)) c FROM l{i} l JOIN u ON u.x = l.id JOIN l{i} n ON n.id = u.y GROUP BY l.id, l.c)")
+    return f"WITH b AS (SELECT DISTINCT 's' || l_suppkey s, 'p' || l_partkey p FROM lineitem), u AS (SELECT s x, p y FROM b UNION ALL SELECT p, s FROM b), {', '.join(steps)} SELECT id AS node, c AS component FROM l{rounds}"
+
+
+@query(_components_sql())
 def components(spark: SparkSession, d: str) -> DataFrame:
-    """Connected suppliers and parts; without SQL, which is too slow on the whole table, but tested on small graphs."""
+    """Connected suppliers and parts."""
     e = t(spark, d, "lineitem").select(F.lit("x").alias("graph_id"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst"))
     return T.components(e, _nodes(e)).select("node", "component")
 
@@ -306,13 +314,18 @@ def topology(spark: SparkSession, d: str) -> DataFrame:
     return G.topology(trade_graph(spark, d)).select("components", "largest", "second")
 
 
-@query()
+@query(f"""WITH RECURSIVE {TRADE}, u AS (SELECT src x, dst y FROM edges UNION SELECT dst, src FROM edges), walk(s, t, far) AS (SELECT id, id, 0 FROM nodes UNION SELECT s, y, far + 1 FROM walk JOIN u ON x = t WHERE far < 25),
+  dist AS (SELECT s, t, min(far) far FROM walk GROUP BY ALL), c AS (SELECT s, min(t) c, count(*) n FROM dist GROUP BY 1), z AS (SELECT c, max(n) n FROM c GROUP BY 1), one AS (SELECT c FROM z ORDER BY n DESC, c LIMIT 1),
+  far AS (SELECT t FROM dist, one WHERE s = c ORDER BY far DESC, t LIMIT 1), k AS (SELECT count(*) n FROM nodes)
+  SELECT 'trade' graph_id, (SELECT max(far) FROM dist WHERE s = (SELECT t FROM far))::INT diameter, round((SELECT sum(n * (n - 1)) FROM z) / (SELECT n * (n - 1) FROM k), 6) reachable, coalesce((SELECT n FROM z ORDER BY n DESC, c LIMIT 1 OFFSET 1), 0) >= 5 fragmented""")
 def diameter(spark: SparkSession, d: str) -> DataFrame:
     """Diameter by double sweep, reach and fragmentation."""
     return _round(G.topology(trade_graph(spark, d)).select("graph_id", "diameter", "reachable", "fragmented"), 6, "reachable")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CLOSED}, p AS (SELECT id, coalesce((SELECT least(id, min(x.t)) FROM r x JOIN r y ON y.s = x.t AND y.t = x.s WHERE x.s = id), id) c FROM nodes),
+  k AS (SELECT DISTINCT a.c x, b.c y FROM edges JOIN p a ON a.id = src JOIN p b ON b.id = dst WHERE a.c <> b.c), path(l) AS (SELECT DISTINCT [c] FROM p UNION ALL SELECT list_append(l, y) FROM path JOIN k ON x = l[-1]),
+  best AS (SELECT l FROM path ORDER BY len(l) DESC, l LIMIT 1) SELECT 'trade' graph_id, (i - 1)::INT place, l[i] node FROM best, generate_series(1, 25) g(i) WHERE i <= len(l)""")
 def critical_chain(spark: SparkSession, d: str) -> DataFrame:
     """Longest chain of strong components."""
     return G.critical_chain(trade_graph(spark, d))
@@ -384,7 +397,10 @@ def terminals(spark: SparkSession, d: str) -> DataFrame:
     return T.terminals(e, _nodes(e)).select("node")
 
 
-@query()
+@query(f"""WITH RECURSIVE {TRADE}, w(gone, t) AS (SELECT id, '1' FROM nodes WHERE id <> '1' UNION SELECT gone, dst FROM w JOIN edges ON src = t WHERE dst <> gone), r(t) AS (SELECT '1' UNION SELECT dst FROM r JOIN edges ON src = r.t),
+  dom AS (SELECT r.t v, nodes.id d FROM r, nodes WHERE r.t <> '1' AND nodes.id <> r.t AND (nodes.id = '1' OR NOT EXISTS (SELECT 1 FROM w WHERE gone = nodes.id AND w.t = r.t))),
+  n AS (SELECT v, count(*) k FROM dom GROUP BY 1), near AS (SELECT dom.v, d, row_number() OVER (PARTITION BY dom.v ORDER BY coalesce(k, 0) DESC, d) rn FROM dom LEFT JOIN n ON n.v = d)
+  SELECT 'trade' graph_id, v AS node, d AS dominator FROM near WHERE rn = 1 UNION ALL SELECT 'trade', '1', '1'""")
 def dominators(spark: SparkSession, d: str) -> DataFrame:
     """Immediate dominators from nation 1."""
     return G.dominators(trade_graph(spark, d), "1")

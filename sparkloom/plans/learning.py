@@ -95,14 +95,25 @@ def budget_select(spark: SparkSession, d: str) -> DataFrame:
     return C.greedy_cover(near, cost).withColumn("gain", F.round("gain", 6))
 
 
-@query()
+_GREEDY = """r(g, rn, room, kept) AS (SELECT g, rn, {budget} - CASE WHEN must OR tokens <= {budget} THEN tokens ELSE 0 END, must OR tokens <= {budget} FROM o WHERE rn = 1
+  UNION ALL SELECT o.g, o.rn, room - CASE WHEN must OR o.tokens <= room THEN o.tokens ELSE 0 END, must OR o.tokens <= room FROM r JOIN o ON o.g = r.g AND o.rn = r.rn + 1)"""
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT graph_id g, id::VARCHAR item, coalesce(file_path, '') f, (CASE WHEN authority IS NULL OR isnan(authority) THEN 0 ELSE authority END * CASE WHEN kind IN ('type', 'interface') THEN 1.3::DOUBLE ELSE 1 END * (1 + 0.15::DOUBLE)) / (10 + length(coalesce(name, ''))) ratio, 10 + length(coalesce(name, '')) tokens
+    FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC NULLS LAST) rn FROM symbols WHERE id IS NOT NULL AND graph_id IS NOT NULL) WHERE rn = 1),
+  a AS (SELECT *, row_number() OVER (PARTITION BY g, f ORDER BY ratio DESC, item) again FROM s), o AS (SELECT g, item, f, tokens, false must, row_number() OVER (PARTITION BY g ORDER BY ratio * CASE WHEN again > 1 THEN 0.5::DOUBLE ELSE 1 END DESC, item) rn FROM a),
+  {_GREEDY.format(budget=4000)} SELECT g AS "group", item, f AS file, tokens::INT AS tokens, CASE WHEN kept THEN 'kept' ELSE 'deferred' END state FROM r JOIN o USING (g, rn)""")
 def snapshot_knapsack(spark: SparkSession, d: str) -> DataFrame:
     """Symbols of each repository kept within 4000 tokens."""
     s = latest_by(t(spark, d, "symbols").where("id IS NOT NULL AND graph_id IS NOT NULL").select("id", "graph_id", "file_path", "name", "kind", "authority", "indexed_at"), ["id"], ["indexed_at"])
     return C.knapsack(s.select(F.col("graph_id").alias("group"), F.col("id").cast("string").alias("item"), F.coalesce("file_path", F.lit("")).alias("file"), F.coalesce(F.when(~F.isnan("authority"), F.col("authority")), F.lit(0.0)).alias("centrality"), F.col("kind").isin("type", "interface").alias("is_type"), F.lit(1).alias("uses"), (F.lit(C.LEAST_COST) + F.length(F.coalesce("name", F.lit("")))).alias("tokens")), 4000)
 
 
-@query()
+_TOKENS = "CASE WHEN text IS NULL THEN 0 ELSE ceil(length(text) / CASE WHEN length(text) - length(regexp_replace(text, '[{}()\\[\\];:=<>|&!@#$%^*+\\-/\\\\~`]', '', 'g')) > 0.08 * length(text) THEN 3.2::DOUBLE ELSE 3.5::DOUBLE END)::INT END"
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT lang g, format('{{:09d}}', doc_id) section, (3 + doc_id % 5)::INT priority, {_TOKENS} tokens FROM documents WHERE lang IS NOT NULL), o AS (SELECT *, priority <= 2 must, row_number() OVER (PARTITION BY g ORDER BY priority, section) rn FROM s),
+  {_GREEDY.format(budget=2000)} SELECT g AS "group", section, priority, tokens::INT AS tokens, kept FROM r JOIN o USING (g, rn)""")
 def section_budget(spark: SparkSession, d: str) -> DataFrame:
     """Documents of each language as sections within 2000 tokens."""
     x = t(spark, d, "documents").where("lang IS NOT NULL").select(F.col("lang").alias("group"), F.format_string("%09d", "doc_id").alias("section"), (3 + F.col("doc_id") % 5).cast("int").alias("priority"), C.token_estimate(F.col("text")).cast("int").alias("tokens"))
