@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.arrays import pairs_of
+from ..shared import durable
 from .edges import real
 
 #: Limits of coupling.
@@ -105,7 +106,7 @@ def lag_coupling(commits: DataFrame, coupled: DataFrame, order: list[str], max_l
     """
     from ..shared import positions
 
-    numbered = positions(commits.select("graph_id", "hash", "files", *[c for c in order if c not in ("graph_id", "hash", "files")]), ["graph_id"], [F.col(c) for c in order], "i")
+    numbered = durable(positions(commits.select("graph_id", "hash", "files", *[c for c in order if c not in ("graph_id", "hash", "files")]), ["graph_id"], [F.col(c) for c in order], "i").select("graph_id", "i", "files"))
     of = lambda x: coupled.select("graph_id", "file_a", "file_b", "co_changes", F.col(f"file_{x}").alias("file"))
     touched = numbered.select("graph_id", "i", F.explode("files").alias("file"))
     lags = F.explode(F.array(*[F.lit(k) for k in range(-max_lag, max_lag + 1) if k])).alias("k")

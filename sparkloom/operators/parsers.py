@@ -23,9 +23,11 @@ _CALL = re.compile(r"(?:\b(new)\s+)?(?:\b([A-Za-z_]\w*)\s*(?:\.|::)\s*)?\b([A-Za
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
-def _blank(text: str) -> str:
-    """The text with comments and string contents replaced by blanks, lines kept."""
+def _blank(text: str, lifetimes: bool = False) -> str:
+    """The text with comments and string contents replaced by blanks, lines kept; with ``lifetimes`` a quote before a name that none closes opens nothing."""
     keep = lambda m: re.sub(r"[^\n]", " ", m[0])
+    if lifetimes:
+        text = re.sub(r"'(?=[A-Za-z_]\w*\b(?!'))", " ", text)
     return re.sub(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", keep, text, flags=re.S)
 
 
@@ -59,9 +61,9 @@ def _names(inside: str) -> list[str]:
     return out
 
 
-def _braced(text: str, spans: list[tuple[str, str, int, bool]], calls_in: bool = True) -> tuple[list, list]:
+def _braced(text: str, spans: list[tuple[str, str, int, bool]], calls_in: bool = True, lifetimes: bool = False) -> tuple[list, list]:
     """Symbols of (name, kind, start, exported) and the calls in functions and methods, each call given to the innermost."""
-    plain = _blank(text)
+    plain = _blank(text, lifetimes)
     symbols, owners = [], []
     for name, kind, start, exported in spans:
         end = _end(plain, start)
@@ -174,7 +176,7 @@ def _go(text: str) -> dict[str, list]:
 
 
 def _rust(text: str) -> dict[str, list]:
-    plain = _blank(text)
+    plain = _blank(text, lifetimes=True)
     imports = []
 
     def tree(prefix: str, rest: str) -> None:
@@ -209,7 +211,7 @@ def _rust(text: str) -> dict[str, list]:
     heritage = [(m[2], m[1], "implements") for m in re.finditer(r"(?m)^\s*impl(?:<[^>]*>)?\s+(?:\w+::)*(\w+)(?:<[^>]*>)?\s+for\s+(\w+)", plain)]
     heritage += [(m[1], b.strip(), "extends") for m in re.finditer(r"\btrait\s+(\w+)\s*:\s*([\w\s+:]+)\{", plain) for b in m[2].split("+") if b.strip()]
     decorators = [(m[2], d.strip()) for m in re.finditer(r"#\[derive\(([^)]*)\)\]\s*(?:#\[[^\]]*\]\s*)*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum)\s+(\w+)", plain) for d in m[1].split(",") if d.strip()]
-    symbols, calls = _braced(text, spans)
+    symbols, calls = _braced(text, spans, lifetimes=True)
     return {"imports": imports, "symbols": symbols, "calls": calls, "heritage": heritage, "decorators": decorators}
 
 

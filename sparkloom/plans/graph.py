@@ -17,11 +17,12 @@ from .registry import query
 _ROUNDS = 30
 
 
-def _hits_sql(edges: str, weight: str, rounds: int = _ROUNDS) -> str:
+def _hits_sql(edges: str, weight: str, rounds: int = _ROUNDS, every_round: bool = False) -> str:
     """HITS as a chain of common table expressions, one per round; ``edges`` defines edges(src, dst, ...) and nodes(id)."""
+    scale = (lambda x: f"({x} - min({x}) OVER ()) / (max({x}) OVER () - min({x}) OVER ())") if every_round else (lambda x: f"{x} / sqrt(sum({x} * {x}) OVER ())")
     steps = ["s0 AS (SELECT id, 1.0::DOUBLE a, 1.0::DOUBLE h FROM nodes)"]
     for i in range(rounds):
-        steps.append(f"""s{i + 1} AS MATERIALIZED (SELECT id, na / sqrt(sum(na * na) OVER ()) a, nh / sqrt(sum(nh * nh) OVER ()) h FROM (SELECT id,
+        steps.append(f"""s{i + 1} AS MATERIALIZED (SELECT id, {scale('na')} a, {scale('nh')} h FROM (SELECT id,
           0.15 / (SELECT count(*) FROM nodes) + 0.85 * coalesce((SELECT sum(h * {weight}) FROM edges JOIN s{i} p ON p.id = src WHERE dst = n.id), 0) na,
           0.15 / (SELECT count(*) FROM nodes) + 0.85 * coalesce((SELECT sum(a * {weight}) FROM edges JOIN s{i} p ON p.id = dst WHERE src = n.id), 0) nh FROM nodes n))""")
     last = f"scored AS (SELECT id node, (a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER ()) authority, (h - min(h) OVER ()) / (max(h) OVER () - min(h) OVER ()) hub FROM s{rounds})"

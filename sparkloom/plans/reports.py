@@ -17,6 +17,7 @@ from ..operators import retrieval as R
 from ..shared import durable, latest_by
 from ..shared import table as t
 from ..sources.source_tree import language_of
+from .graph import _hits_sql
 from .history import _COUPLED
 from .inputs import TRADE, VOLUMES, history, trade_graph, trade_volumes
 from .registry import ORACLES, query
@@ -47,14 +48,13 @@ def graph_cards_all(spark: SparkSession, d: str) -> DataFrame:
     return _cards(spark, d, H.change_coupling(history(spark, d), top=None))
 
 
-@query(f"""WITH {_COUPLED}, last AS (SELECT graph_id, max_by(hash, (ts, hash)) hash FROM log GROUP BY 1), ch AS (SELECT DISTINCT f FROM touched JOIN last USING (graph_id, hash)), w AS (SELECT file_a "file", file_b missing, conf_ab c FROM coupled UNION ALL SELECT file_b, file_a, conf_ba FROM coupled)
+@query(f"""WITH {_COUPLED}, w AS (SELECT graph_id, file_a "file", file_b missing, conf_ab c FROM coupled UNION ALL SELECT graph_id, file_b, file_a, conf_ba FROM coupled), ch AS (SELECT min("file") f FROM w GROUP BY graph_id)
   SELECT "file", missing, round(c, 6) confidence FROM w WHERE c >= 0.5 AND "file" IN (SELECT f FROM ch) AND missing NOT IN (SELECT f FROM ch)""")
 def missing_co_changes(spark: SparkSession, d: str) -> DataFrame:
-    """Partners left out by the latest commit of each repository."""
-    log = history(spark, d)
-    last = log.groupBy("graph_id").agg(F.max_by("files", F.struct("ts", "hash")).alias("files"))
-    changed = last.select(F.explode("files").alias("file")).distinct()
-    return P.missing_co_changes(changed, H.change_coupling(log, top=None)).withColumn("confidence", F.round("confidence", 6))
+    """Partners left out by a change to the first coupled file of each repository."""
+    coupled = H.change_coupling(history(spark, d), top=None)
+    changed = coupled.groupBy("graph_id").agg(F.min(F.least("file_a", "file_b")).alias("file")).select("file")
+    return P.missing_co_changes(changed, coupled).withColumn("confidence", F.round("confidence", 6))
 
 
 @query(f"""WITH {_FILES}, c AS (SELECT * FROM f) SELECT path AS "file", 'chokepoint' finding FROM c WHERE is_chokepoint UNION ALL SELECT path, 'cross-cutting' FROM c WHERE is_cross_cutting UNION ALL SELECT path, 'bottleneck' FROM c WHERE betweenness > 0.1 AND NOT isnan(betweenness)""")
@@ -132,10 +132,8 @@ def extract_symbols(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def extract_calls(spark: SparkSession, d: str) -> DataFrame:
-    """Calls in the source excerpts, resolved within their text."""
-    x = X.extract(_texts(spark, d))
-    none = spark.createDataFrame([], "path string, target string, names array<string>")
-    return X.resolve_calls(X.facts(x, "calls"), X.facts(x, "symbols"), none)
+    """Calls in the source excerpts; which symbols such calls mean is resolved_calls."""
+    return X.facts(X.extract(_texts(spark, d)), "calls").select("path", "caller", "object", "callee", "line", "is_new")
 
 
 _SEEDTERMS = {"i1": ["cache", "retry", "session"], "i2": ["parser", "schema", "token"]}
@@ -163,17 +161,23 @@ def latent_seeds(spark: SparkSession, d: str) -> DataFrame:
     return I.latent_seeds(first, v).drop("graph_id")
 
 
-@query()
+def _around(start: str) -> str:
+    """Edges and nodes of the trade graph within two hops of a nation, either way."""
+    return f"""{TRADE.replace('edges AS', 'whole AS').replace('FROM edges', 'FROM whole').replace('nodes AS', 'every AS')}, u AS (SELECT src x, dst y FROM whole UNION SELECT dst, src FROM whole),
+      near AS (SELECT '{start}' id UNION SELECT y FROM u WHERE x = '{start}' UNION SELECT b.y FROM u a JOIN u b ON b.x = a.y WHERE a.x = '{start}'), edges AS (SELECT src, dst FROM whole WHERE src IN (FROM near) AND dst IN (FROM near)), nodes AS (SELECT src id FROM edges UNION SELECT dst FROM edges)"""
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({_hits_sql(_around(x), '1')} SELECT 'trade:{x}' graph_id, node, round(authority, 4) authority, round(hub, 4) hub FROM scored)" for x in ("1", "2")))
 def task_hits(spark: SparkSession, d: str) -> DataFrame:
     """Hub and authority scores around nations 1 and 2."""
     e = trade_graph(spark, d).select("graph_id", "src", "dst", F.lit(1.0).alias("weight"))
     starts = spark.createDataFrame([("trade", "1"), ("trade", "2")], "graph_id string, start string")
-    return I.task_hits(e, starts).withColumns({c: F.round(c, 4) for c in ("authority", "hub")})
+    return I.task_hits(e, starts).select("graph_id", "node", *[F.round(c, 4).alias(c) for c in ("authority", "hub")])
 
 
-@query()
+@query(_hits_sql(TRADE, "weight * CASE WHEN src::INT % 2 = 0 THEN 1.0::DOUBLE ELSE 0.3 END", every_round=True) + " SELECT 'trade' graph_id, node, round(authority, 4) authority, round(hub, 4) hub FROM scored")
 def symbol_hits(spark: SparkSession, d: str) -> DataFrame:
-    """Hub scores over typed edges, scaled every round."""
+    """Hub scores over typed edges, scaled every round; kinds are made up from the nations' numbers."""
     e = trade_graph(spark, d).select("graph_id", "src", "dst", F.when(F.col("src").cast("int") % 2 == 0, "calls").otherwise("uses_type").alias("kind"), F.col("weight").alias("confidence"))
     return I.symbol_hits(e).withColumns({c: F.round(c, 4) for c in ("authority", "hub")})
 
