@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.paths import directory
-from ..shared import ship
+from ..shared import durable, ship
 from .graph import bounded
 from .parsers import FACTS, parse
 
@@ -199,3 +201,102 @@ def symbol_authority(edges: DataFrame, inner_calls: DataFrame) -> DataFrame:
     """
     s = edges.select("file", "name", "weight").unionByName(inner_calls.select("file", "name", F.lit(0.3).alias("weight"))).groupBy("file", "name").agg(F.sum("weight").alias("w"))
     return s.withColumn("authority", F.round(F.col("w") / F.max("w").over(W.partitionBy("file")), 3)).drop("w")
+
+
+#: Imports below which a file has no order.
+LEAST_IMPORTS = 3
+_IMPORT_LINE = re.compile(r"^import\s+(?:.*?\s+from\s+)?['\"]([^'\"]+)['\"]")
+
+
+def _import_order(text: str | None) -> tuple[str | None, bool, bool]:
+    """(order, alphabetical, built-ins apart) of the import lines that open a script file."""
+    lines, gap = [], False  # (specifier, group, is_builtin, a blank line stands before)
+    for line in map(str.strip, (text or "").split("\n")):
+        if not line:
+            gap = bool(lines)
+        elif m := _IMPORT_LINE.match(line):
+            s = m[1]
+            group = "internal" if s.startswith(("@/", "~/")) else "relative" if s.startswith(".") else "external"
+            lines.append((s, group, s.startswith("node:"), gap))
+            gap = False
+        elif lines and not line.startswith("import"):
+            break
+    if len(lines) < LEAST_IMPORTS:
+        return None, False, False
+    groups = [g for _, g, _, _ in lines]
+    first = "external" in groups and ("relative" not in groups or groups.index("external") < groups.index("relative"))
+    order = ("external-first, blank-line separated" if any(b for *_, b in lines) else "external-first") if first else None
+    within = [(a, b) for a, b in zip(lines, lines[1:], strict=False) if a[1] == b[1] and not b[3]]
+    alphabetical = all(a[0].lower() <= b[0].lower() for a, b in within)
+    borders = [b[3] for a, b in zip(lines, lines[1:], strict=False) if a[1] == b[1] == "external" and a[2] != b[2]]
+    return order, alphabetical, bool(borders) and borders[0]
+
+
+def import_order(files: DataFrame) -> DataFrame:
+    """(path, ordering, alphabetical, builtins_apart) of (path, text): how the imports at the head of a script file are sorted.
+
+    External ones first or not, with blank lines between groups or not; alphabetical inside each group, case aside; built-in
+    modules apart from other external ones by a blank line. Files of under three imports and null texts have no order.
+    """
+    ship(files.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(p, *_import_order(t)) for p, t in zip(b.path, b.text, strict=True)], columns=["path", "ordering", "alphabetical", "builtins_apart"])
+
+    return files.select("path", "text").mapInPandas(run, "path string, ordering string, alphabetical boolean, builtins_apart boolean")
+
+
+def _signature(lines: list[str], start: int, colon: bool, most: int = 20) -> str:
+    """The declaration of a symbol: its lines up to where the body opens, blanks folded."""
+    head = " ".join(x.strip() for x in lines[start - 1 : start - 1 + most])
+    depth = 0
+    for i, c in enumerate(head):
+        depth += (c in "([") - (c in ")]")
+        if depth <= 0 and ((c == ":" and colon) or (c in "{;" and not colon)):
+            head = head[:i]
+            break
+    return re.sub(r"\s+", " ", head).strip()
+
+
+def signatures(files: DataFrame) -> DataFrame:
+    """(path, name, kind, start_line, is_exported, signature, hash) of the symbols of (path, language, text): a snapshot of what a file offers.
+
+    The hash changes only with the signature, so that two snapshots tell changed interfaces from changed bodies.
+    """
+    ship(files.sparkSession)
+    columns = ["path", "name", "kind", "start_line", "is_exported", "signature", "hash"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for p, lang, text in zip(b.path, b.language, b.text, strict=True):
+                lines = (text or "").split("\n")
+                for name, kind, start, _, exported, *_ in (parse(lang, text) or {}).get("symbols", []):
+                    s = _signature(lines, start, lang == "python")
+                    rows.append((p, name, kind, start, exported, s, hashlib.sha256(s.encode()).hexdigest()[:16]))
+            yield pd.DataFrame(rows, columns=columns)
+
+    return files.select("path", "language", "text").mapInPandas(run, "path string, name string, kind string, start_line int, is_exported boolean, signature string, hash string")
+
+
+def symbol_pipeline(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+    """(src, caller, dst, callee, calls, tier, confidence): the call graph in two passes.
+
+    First the sure ways of resolve_calls; the calls found give every file its neighbours and every symbol its authority.
+    Second, calls that nothing resolved are given to the nearest symbol of that name by proximity (tier 5). ``calls``: path,
+    caller, callee, object, line, is_new; ``symbols``: path, name, kind; ``imports``: path, target, names.
+    """
+    sure = durable(resolve_calls(calls, symbols, imports))
+    strong = sure.where("path <> target").groupBy(F.col("path").alias("file"), F.col("target").alias("to"), F.col("callee").alias("name")).agg(F.count("*").cast("double").alias("weight"))
+    authority = symbol_authority(strong.select(F.col("to").alias("file"), "name", "weight"), sure.where("path = target").select(F.col("target").alias("file"), F.col("callee").alias("name")))
+    links = strong.select("file", "to").unionByName(strong.select(F.col("to").alias("file"), F.col("file").alias("to")))
+    every = symbols.select(F.col("path").alias("file")).unionByName(calls.select(F.col("path").alias("file"))).distinct()
+    near = every.join(links.groupBy("file").agg(F.array_sort(F.collect_set("to")).alias("near")), "file", "left").select(F.col("file").alias("path"), F.coalesce("near", F.array().cast("array<string>")).alias("near"))
+    key = ["path", "caller", "callee", "line"]
+    open_calls = calls.select(*key).distinct().join(sure.select(*key).distinct(), key, "left_anti")
+    named = symbols.select(F.col("path").alias("target"), F.col("name").alias("callee")).distinct()
+    scored = named.join(authority.select(F.col("file").alias("target"), F.col("name").alias("callee"), "authority"), ["target", "callee"], "left").select("target", "callee", F.coalesce("authority", F.lit(0.0)).alias("authority"))
+    guessed = proximity(open_calls.select("path", "caller", "callee").distinct(), scored, near).withColumn("tier", F.lit(5))
+    both = sure.select("path", "caller", "target", "callee", "tier", "confidence").unionByName(guessed.select("path", "caller", "target", "callee", "tier", "confidence"))
+    return both.groupBy(F.col("path").alias("src"), "caller", F.col("target").alias("dst"), "callee").agg(F.count("*").alias("calls"), F.min("tier").alias("tier"), F.max("confidence").alias("confidence"))

@@ -12,16 +12,19 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..shared import discard, durable, ship
 from . import kernels as K
-from .edges import real
+from .edges import degrees, real
 
 #: Edges of a graph that a single task takes.
 MOST_EDGES = 2_000_000
 #: Nodes of a graph for kernels with a bit set a node (40,000² bits are 200 MB), with a search a node, and with a scan of all nodes a step.
 MOST_BITS, MOST_SEARCHES, MOST_SCANS = 40_000, 20_000, 20_000
+#: Least sources of a sampled betweenness, and the mean degree from which they are doubled.
+SAMPLED_LEAST, DENSE = 50, 10
 #: Thresholds of roles, weight of edges in hub scores.
 ROLES = {"foundation": (0.6, 0.3), "orchestrator": (0.6, 0.3), "bridge": 0.3, "utility": (0.1, 0.6, 0.1)}
 TYPE_ONLY, DYNAMIC, BARREL, LEAST_SPECIFIC, SPECIFIC_BASE, STAR_NAMES = 0.7, 0.5, 0.3, 0.2, 6, 3
@@ -128,14 +131,43 @@ def betweenness(edges: DataFrame) -> DataFrame:
     return per_graph(edges, lambda n, names, src, dst, w: zip(names, K.betweenness(n, src, dst).tolist(), strict=True), "node string, betweenness double", MOST_SEARCHES)
 
 
-def betweenness_by_source(edges: DataFrame, share: float = 1.0, seed: int = 1) -> DataFrame:
+def sample_sources(edges: DataFrame, community: DataFrame | None = None, seed: int = 1) -> DataFrame:
+    """(graph_id, node): sources of a sampled betweenness; all nodes of graphs that are no larger than the sample.
+
+    The sample has max(50, 2·√nodes) sources, rounded up to tens, twice as many where nodes have more than ten edges on
+    average. Each community (graph_id, node, community) gives its share of them, rounded up, so that none is missed; inside a
+    community nodes are drawn in proportion to their degree, by the hash of their name and ``seed``.
+    """
+    d = degrees(edges).select("graph_id", "node", (F.col("in_degree") + F.col("out_degree")).alias("degree"))
+    d = durable(d.withColumn("community", F.lit(0)) if community is None else d.join(community.select("graph_id", "node", "community"), ["graph_id", "node"], "left"))
+    size = d.groupBy("graph_id").agg(F.count("*").alias("n"), F.avg("degree").alias("mean"))
+    wanted = F.ceil(F.greatest(F.lit(SAMPLED_LEAST), F.ceil(2 * F.sqrt("n"))) / 10) * 10 * F.when(F.col("mean") > DENSE, 2).otherwise(1)
+    group = d.groupBy("graph_id", "community").agg(F.count("*").alias("members")).join(size, "graph_id")
+    quota = group.select("graph_id", "community", F.when(wanted >= F.col("n"), F.col("members")).otherwise(F.ceil(wanted * F.col("members") / F.col("n"))).alias("quota"))
+    # the k greatest of u^(1/degree) are a draw of k without replacement in proportion to the degree
+    u = (F.pmod(F.xxhash64("graph_id", "node", F.lit(seed)), F.lit(1 << 30)) + 1) / float(1 << 30)
+    order = W.partitionBy("graph_id", "community").orderBy((F.log(u) / F.col("degree")).desc(), "node")
+    placed = d.withColumn("place", F.row_number().over(order))
+    on = (placed["graph_id"] == quota["graph_id"]) & placed["community"].eqNullSafe(quota["community"])
+    return placed.join(quota, on).where("place <= quota").select(placed["graph_id"], "node")
+
+
+def betweenness_sampled(edges: DataFrame, community: DataFrame | None = None, seed: int = 1) -> DataFrame:
+    """(graph_id, node, betweenness) from the sources of ``sample_sources``, over the greatest; exact for small graphs."""
+    return betweenness_by_source(edges, sources=sample_sources(edges, community, seed))
+
+
+def betweenness_by_source(edges: DataFrame, share: float = 1.0, seed: int = 1, sources: DataFrame | None = None) -> DataFrame:
     """The same with the sources dealt out over tasks, every task holding the adjacency of one graph of at most MOST_EDGES edges.
 
-    ``share`` below 1 samples sources by hash; sums are scaled by the greatest, so the scale does not change.
+    ``sources`` (graph_id, node) may be given; ``share`` below 1 samples them by hash. Sums are scaled by the greatest, so the
+    scale does not change.
     """
     ship(edges.sparkSession)
     e = bounded(real(edges).select("graph_id", "src", "dst").distinct(), ["graph_id"], MOST_EDGES, "edges")
     nodes = e.select("graph_id", F.col("src").alias("node")).unionByName(e.select("graph_id", F.col("dst").alias("node"))).distinct()
+    if sources is not None:
+        nodes = nodes.join(sources.select("graph_id", "node").distinct(), ["graph_id", "node"], "left_semi")
     if share < 1:
         nodes = nodes.where(F.pmod(F.xxhash64("graph_id", "node", F.lit(seed)), F.lit(1_000_000)) < share * 1_000_000)
     tasks = edges.sparkSession.sparkContext.defaultParallelism
@@ -144,7 +176,7 @@ def betweenness_by_source(edges: DataFrame, share: float = 1.0, seed: int = 1) -
 
     def run(key, some: pd.DataFrame, all_edges: pd.DataFrame) -> pd.DataFrame:
         if some.empty or all_edges.empty:
-            return pd.DataFrame({"graph_id": [], "node": [], "part": []})
+            return pd.DataFrame({"graph_id": [], "node": [], "part": []}, dtype=object)
         names = sorted(set(all_edges.src) | set(all_edges.dst))
         at = {v: i for i, v in enumerate(names)}
         nexts = K.neighbours(len(names), all_edges.src.map(at).to_numpy(), all_edges.dst.map(at).to_numpy())

@@ -12,7 +12,7 @@ from . import graph as G
 from . import kernels as K
 from . import retrieval as R
 from . import traversal as T
-from .edges import real
+from .edges import degrees, real
 
 #: Seed scores and limits, expansion by latent vectors, flow limits, discounts.
 PATH_HIT, SYMBOL_HIT, AUTHORITY, SEEDS = 2.0, 1.5, 0.5, 10
@@ -23,6 +23,8 @@ NEGATION_WINDOW, SHORT_PROMPT = 30, 10
 #: How much of a score an edge kind passes on, backwards and for guessed edges less.
 TRANSMISSION = {"calls": 0.7, "extends": 0.8, "implements": 0.6, "satisfies": 0.5, "embeds": 0.75, "uses_type": 0.3, "decorates": 0.9, "imports": 0.7}
 BACKWARDS, GHOST = 0.7, 0.6
+#: Fading a day and its floor, power and floor of authority, days of unknown age.
+FADE, FADE_FLOOR, AUTHORITY_POWER, LEAST_AUTHORITY, UNKNOWN_AGE = 0.0333, 0.05, 0.7, 0.01, 365.0
 #: Weights of edge kinds in symbol hub scores, base kinds of guessed kinds.
 KIND_WEIGHT = {"calls": 1.0, "extends": 1.0, "implements": 0.3, "satisfies": 0.3, "embeds": 0.8, "uses_type": 0.3, "decorates": 0.7, "imports": 1.0}
 BASE_KIND = {"di_inject": "calls", "event_bind": "calls", "route": "calls", "trait_bound": "implements", "descriptor": "uses_type"}
@@ -42,6 +44,51 @@ def transmission(kind: Column, backwards: Column, ghost: Column) -> Column:
     return _lookup(_lookup(kind, BASE_KIND, kind), TRANSMISSION, F.lit(0.3)) * F.when(backwards, BACKWARDS).otherwise(1.0) * F.when(ghost, GHOST).otherwise(1.0)
 
 
+def both_ways(edges: DataFrame) -> DataFrame:
+    """(graph_id, src, dst, weight): what share of a score each typed edge passes on, forwards and, less, backwards.
+
+    ``edges``: graph_id, src, dst, kind, confidence; kinds of guessed edges are those of BASE_KIND, and pass on less. A null
+    confidence counts 1; several edges between two nodes add up.
+    """
+    e = real(edges).withColumn("c", F.coalesce("confidence", F.lit(1.0)))
+    ghost = F.col("kind").isin(list(BASE_KIND))
+    ahead = e.select("graph_id", "src", "dst", (transmission(F.col("kind"), F.lit(False), ghost) * F.col("c")).alias("weight"))
+    back = e.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"), (transmission(F.col("kind"), F.lit(True), ghost) * F.col("c")).alias("weight"))
+    return ahead.unionByName(back).groupBy("graph_id", "src", "dst").agg(F.sum("weight").alias("weight"))
+
+
+def propagate(edges: DataFrame, starts: dict[str, float] | DataFrame, rounds: int = K.KATZ_ROUNDS, epsilon: float = K.KATZ_EPSILON) -> DataFrame:
+    """Katz scores over typed edges, mass going both ways; ``starts`` as in graph.katz."""
+    return G.katz(both_ways(edges), starts, rounds, epsilon)
+
+
+def fading(days: Column, default: float) -> Column:
+    """exp(-.0333 · days), .05 at least; ``default`` where the days are unknown."""
+    return F.coalesce(F.greatest(F.lit(FADE_FLOOR), F.exp(-FADE * days)), F.lit(default))
+
+
+def flow_weights(edges: DataFrame, authority: DataFrame, blame: DataFrame | None = None) -> DataFrame:
+    """(graph_id, src, dst, weight): weights of typed edges for the absorbing flow; rows are made to sum to 1 there.
+
+    weight = kind · confidence (.5 if unknown) · max(authority of dst, .01)^.7 · fading of the last common change (.05 if
+    none) · fading of the age of dst (365 days if unknown; 1 without ``blame``) · attenuation of dst · prior (1 if none).
+    ``edges``: graph_id, src, dst, kind, confidence, cochange_days, prior, only kinds that pass on flow; ``authority``:
+    graph_id, node, authority; ``blame``: graph_id, node, days.
+    """
+    e = real(edges)
+    degree = durable(degrees(e))
+    size = degree.groupBy("graph_id").agg(F.count("*").alias("nodes"))
+    of_dst = degree.join(size, "graph_id").select("graph_id", F.col("node").alias("dst"), attenuation(F.col("in_degree"), F.col("out_degree"), F.col("nodes")).alias("inf"))
+    x = e.join(of_dst, ["graph_id", "dst"]).join(authority.select("graph_id", F.col("node").alias("dst"), "authority"), ["graph_id", "dst"], "left")
+    age = F.lit(1.0)
+    if blame is not None:
+        x = x.join(blame.select("graph_id", F.col("node").alias("dst"), F.col("days").alias("age_days")), ["graph_id", "dst"], "left")
+        age = fading(F.coalesce("age_days", F.lit(UNKNOWN_AGE)), FADE_FLOOR)
+    strength = F.pow(F.greatest(F.coalesce("authority", F.lit(0.0)), F.lit(LEAST_AUTHORITY)), F.lit(AUTHORITY_POWER))
+    w = kind_weight(F.col("kind")) * F.coalesce("confidence", F.lit(0.5)) * strength * fading(F.col("cochange_days"), FADE_FLOOR) * age * F.col("inf") * F.coalesce("prior", F.lit(1.0))
+    return x.select("graph_id", "src", "dst", w.alias("weight")).groupBy("graph_id", "src", "dst").agg(F.sum("weight").alias("weight"))
+
+
 def attenuation(in_degree: Column, out_degree: Column, nodes: Column) -> Column:
     """Less for nodes that everything points at and little leaves: the inverse frequency of being a target, 1 for others."""
     idf = F.log((nodes + 1) / (in_degree + 1)) / F.log(nodes + 1)

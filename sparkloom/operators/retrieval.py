@@ -28,8 +28,10 @@ SYM_K1, SYM_B, SYM_DELTA, NAME_SHARE, AUTHORITY_SHARE = 1.2, 0.4, 1.0, 0.5, 0.3
 GIT_K1, GIT_B, RRF = 1.5, 0.75, 60
 #: A short default table of synonyms; callers pass their own as rows (term, synonym).
 SYNONYMS = [["auth", "authenticate", "authorize"], ["db", "database"], ["err", "error", "exception"], ["cache", "memo"], ["queue", "worker", "job"], ["config", "settings"], ["retry", "backoff"], ["timeout", "deadline"], ["parse", "parser"], ["init", "bootstrap"], ["delete", "remove"], ["session", "cookie", "credential"]]
-#: Query vectors that are sent to the workers at once.
-BLOCK_VECTORS = 4096
+#: Query vectors that meet a batch at once, and bytes of query vectors that are broadcast at once.
+BLOCK_VECTORS, QUERY_BYTES = 4096, 64 << 20
+#: Distinct terms of queries that are looked up inside the scan of the documents.
+MANY_TERMS = 1000
 
 
 def synonym_rows(groups: list[list[str]] = SYNONYMS) -> list[tuple[str, str]]:
@@ -46,8 +48,12 @@ def expand(queries: DataFrame, synonyms: DataFrame, weight: float = SYNONYM) ->
 
 def corpus_stats(docs: DataFrame, fields: dict = FIELDS) -> DataFrame:
     """One row: n documents and the average length of each field over documents that have it, with a floor (path: over all)."""
-    cut = {f: F.when(F.size(f) > 0, F.size(f)) if f != "path" else F.greatest(F.size(f), F.lit(0)) for f in fields}
-    return docs.agg(F.count("*").alias("n"), *[F.greatest(F.coalesce(F.avg(cut[f]), F.lit(0.0)), F.lit(fields[f][2])).alias(f"avg_{f}") for f in fields])
+    return _stats(docs.select(*[F.size(f).alias(f"len_{f}") for f in fields]), fields)
+
+
+def _stats(lengths: DataFrame, fields: dict) -> DataFrame:
+    cut = {f: F.when(F.col(f"len_{f}") > 0, F.col(f"len_{f}")) if f != "path" else F.greatest(f"len_{f}", F.lit(0)) for f in fields}
+    return lengths.agg(F.count("*").alias("n"), *[F.greatest(F.coalesce(F.avg(cut[f]), F.lit(0.0)), F.lit(fields[f][2])).alias(f"avg_{f}") for f in fields])
 
 
 def document_frequency(docs: DataFrame, least: int = 1) -> DataFrame:
@@ -56,16 +62,24 @@ def document_frequency(docs: DataFrame, least: int = 1) -> DataFrame:
     return terms.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= least)
 
 
-def _matches(docs: DataFrame, queries: DataFrame, fields: list[str]) -> DataFrame:
-    """(doc, term, tf_<field>, len_<field>) of terms that some query names."""
-    wanted = queries.select("term").distinct()
+def _slim(docs: DataFrame, queries: DataFrame, fields: list[str]) -> DataFrame:
+    """(doc, len_<field>, <field>): lengths of the fields, and of their tokens only those that some query names, written once.
+
+    Up to MANY_TERMS terms of queries are looked up inside the scan, so that texts are cut into tokens a single time and
+    only hits are written; with more of them all tokens are kept, and the join with the terms sorts them out.
+    """
+    known = [r.term for r in queries.select("term").distinct().limit(MANY_TERMS + 1).collect()]
+    empty = F.array().cast("array<string>")
+    keep = lambda f: F.filter(F.coalesce(f, empty), lambda t: t.isin(known)) if len(known) <= MANY_TERMS else F.coalesce(f, empty)
+    return durable(docs.select("doc", *[F.greatest(F.size(f), F.lit(0)).alias(f"len_{f}") for f in fields], *[keep(f).alias(f) for f in fields]))
 
-    def tag(field: str) -> Column:
-        return F.transform(F.coalesce(field, F.array().cast("array<string>")), lambda t: F.struct(t.alias("term"), F.lit(field).alias("field")))
 
+def _matches(slim: DataFrame, queries: DataFrame, fields: list[str]) -> DataFrame:
+    """(doc, term, tf_<field>, len_<field>) of terms that some query names."""
+    wanted = queries.select("term").distinct()
+    tag = lambda field: F.transform(field, lambda t: F.struct(t.alias("term"), F.lit(field).alias("field")))
     tagged = F.flatten(F.array(*[tag(f) for f in fields]))
-    lengths = [F.greatest(F.size(f), F.lit(0)).alias(f"len_{f}") for f in fields]
-    long = docs.select("doc", *lengths, F.explode(tagged).alias("x")).select("doc", *[f"len_{f}" for f in fields], "x.term", "x.field").join(wanted, "term", "left_semi")
+    long = slim.select("doc", *[f"len_{f}" for f in fields], F.explode(tagged).alias("x")).select("doc", *[f"len_{f}" for f in fields], "x.term", "x.field").join(wanted, "term", "left_semi")
     return long.groupBy("doc", "term").agg(*[F.sum((F.col("field") == f).cast("int")).alias(f"tf_{f}") for f in fields], *[F.first(f"len_{f}").alias(f"len_{f}") for f in fields])
 
 
@@ -75,9 +89,10 @@ def bm25f(docs: DataFrame, queries: DataFrame, fields: dict = FIELDS) -> DataFra
     ``docs``: doc and token arrays path, symbols, imports. df counts path and symbol tokens only, a term unknown there
     has df 1. ``import_only`` tells that every matching token is an import.
     """
-    hits = durable(_matches(docs, queries, list(fields)))
+    slim = _slim(docs, queries, list(fields))
+    hits = durable(_matches(slim, queries, list(fields)))
     df = hits.where((F.col("tf_path") > 0) | (F.col("tf_symbols") > 0)).groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(docs, fields).first()  # one row
+    stats = _stats(slim, fields).first()  # one row
     ptf = reduce(lambda a, b: a + b, [w * F.col(f"tf_{f}") / (1 - b + b * F.col(f"len_{f}") / stats[f"avg_{f}"]) for f, (w, b, _) in fields.items()])
     n = F.coalesce("df", F.lit(1))
     idf = F.log((stats["n"] - n + 0.5) / (n + 0.5) + 1)
@@ -154,37 +169,40 @@ def rank_symbols(body: DataFrame, name: DataFrame, symbols: DataFrame, k: int =
     return top_k(s, k, ["query", "file"], [F.round("score", 9).desc(), F.col("doc")])
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = BLOCK_VECTORS) -> DataFrame:
+def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int | None = None) -> DataFrame:
     """(query, id, score, rank): the k vectors of greatest inner product for each query vector.
 
-    Query vectors go to the workers in blocks of bounded size; each batch of vectors meets a block as a matrix product and
-    hands on its own best k, so a query gathers k rows per batch. Vectors that are null, of another length or not finite
-    are skipped.
+    Query vectors are broadcast in blocks of at most QUERY_BYTES, and each block costs one scan of the vectors; inside a task
+    a batch of vectors meets BLOCK_VECTORS queries at a time as a matrix product and hands on its own best k, so a query
+    gathers k rows per batch. ``block`` sets the queries of a block otherwise. Vectors that are null, of another length or not
+    finite are skipped.
     """
     ship(vectors.sparkSession)
     spark = vectors.sparkSession
     q_kind, id_kind = queries.schema["query"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
-    n = queries.count()
-    parts = max(1, -(-n // block))
+    n, width = queries.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    parts = max(1, -(-n // (block or max(1, QUERY_BYTES // (8 * max(1, width or 1))))))
     numbered = durable(queries.select("query", "embedding").withColumn("__b", F.pmod(F.xxhash64("query"), F.lit(parts))))
     found = None
     for i in range(parts):
-        rows = numbered.where(F.col("__b") == i).collect()  # about ``block`` vectors
+        rows = numbered.where(F.col("__b") == i).collect()  # about QUERY_BYTES
         if not rows:
             continue
-        ids, q = [r.query for r in rows], np.array([r.embedding for r in rows], np.float64)
+        sent = spark.sparkContext.broadcast((np.array([r.query for r in rows]), np.array([r.embedding for r in rows], np.float64)))
 
-        def best(batches: Iterator[pd.DataFrame], ids=ids, q=q) -> Iterator[pd.DataFrame]:
+        def best(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            ids, every = sent.value
             for pdf in batches:
-                ok = [v is not None and len(v) == q.shape[1] and bool(np.isfinite(np.asarray(v, float)).all()) for v in pdf.embedding]
+                ok = [v is not None and len(v) == every.shape[1] and bool(np.isfinite(np.asarray(v, float)).all()) for v in pdf.embedding]
                 pdf = pdf[ok]
                 if pdf.empty:
                     continue
-                key = pdf.id.to_numpy()
-                s = q @ np.stack(pdf.embedding.to_numpy()).astype(np.float64).T
+                key, stacked = pdf.id.to_numpy(), np.stack(pdf.embedding.to_numpy()).astype(np.float64).T
                 place = np.argsort(np.argsort(key, kind="stable"), kind="stable")
-                order = np.lexsort((np.broadcast_to(place, s.shape), -s), axis=1)[:, :k]
-                yield pd.DataFrame({"query": np.repeat(ids, order.shape[1]), "id": key[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
+                for at in range(0, len(ids), BLOCK_VECTORS):
+                    s = every[at : at + BLOCK_VECTORS] @ stacked
+                    order = np.lexsort((np.broadcast_to(place, s.shape), -s), axis=1)[:, :k]
+                    yield pd.DataFrame({"query": np.repeat(ids[at : at + BLOCK_VECTORS], order.shape[1]), "id": key[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
 
         part = vectors.select("id", "embedding").mapInPandas(best, f"query {q_kind}, id {id_kind}, score double")
         found = part if found is None else found.unionByName(part)

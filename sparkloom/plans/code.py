@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.hashes import rolling31, short_sha
 from ..functions.paths import directory
 from ..operators import edges as E
 from ..operators import extraction as X
@@ -297,3 +298,75 @@ def trivial_prompts(spark: SparkSession, d: str) -> DataFrame:
 def mentions(spark: SparkSession, d: str) -> DataFrame:
     """Which log entries speak of tests without a negation just before."""
     return t(spark, d, "session_entries").select("entry_id", F.coalesce(I.mentions(F.col("content"), F.lit("test")), F.lit(False)).alias("mentioned"))
+
+
+_KINDS = "CASE kind WHEN 'class' THEN 'extends' WHEN 'function' THEN 'calls' WHEN 'interface' THEN 'implements' ELSE 'uses_type' END"
+_FLOW = f"""te AS (SELECT DISTINCT graph_id, src, dst, {_KINDS} kind FROM named), dg AS (SELECT graph_id, node, sum(i) i, sum(o) o FROM (SELECT graph_id, dst node, 1 i, 0 o FROM te UNION ALL SELECT graph_id, src, 0, 1 FROM te) GROUP BY ALL),
+  sz AS (SELECT graph_id, count(*) k FROM dg GROUP BY 1), inf AS (SELECT dg.graph_id, node, CASE WHEN i > o AND k > 1 THEN greatest(ln((k + 1) / (i + 1)) / ln(k + 1), 0.1) ELSE 1 END::DOUBLE inf FROM dg JOIN sz USING (graph_id)),
+  cd AS (SELECT graph_id, least(file_a, file_b) a, greatest(file_a, file_b) b, min(last_cochange_days) dd FROM change_coupling WHERE file_a <> file_b GROUP BY ALL),
+  au AS (SELECT graph_id, file_path node, max(CASE WHEN isnan(authority) THEN NULL ELSE authority END) a FROM sym GROUP BY ALL),
+  fw AS (SELECT te.graph_id, te.src, te.dst, sum(CASE kind WHEN 'calls' THEN 1.0::DOUBLE WHEN 'extends' THEN 1.0 ELSE 0.3 END * 0.5 * pow(greatest(coalesce(au.a, 0), 0.01), 0.7::DOUBLE) * coalesce(greatest(0.05::DOUBLE, exp(-0.0333::DOUBLE * dd)), 0.05) * inf) w
+    FROM te JOIN inf ON inf.graph_id = te.graph_id AND inf.node = te.dst LEFT JOIN au ON au.graph_id = te.graph_id AND au.node = te.dst LEFT JOIN cd ON cd.graph_id = te.graph_id AND cd.a = least(te.src, te.dst) AND cd.b = greatest(te.src, te.dst) GROUP BY ALL)"""
+
+
+def _typed(spark: SparkSession, d: str) -> DataFrame:
+    """(graph_id, src, dst, kind): import edges typed by the kind of the importing symbol."""
+    kind = F.when(F.col("kind") == "class", "extends").when(F.col("kind") == "function", "calls").when(F.col("kind") == "interface", "implements").otherwise("uses_type")
+    return _named(spark, d).select("graph_id", "src", "dst", kind.alias("kind")).distinct()
+
+
+@query(f"WITH {_SYM}, {_FLOW} SELECT graph_id, src, dst, round(w, 9) AS weight FROM fw")
+def flow_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Weights of the import edges for the absorbing flow: kind, authority, last common change, attenuation."""
+    days = t(spark, d, "change_coupling").where("file_a <> file_b").groupBy("graph_id", F.least("file_a", "file_b").alias("a"), F.greatest("file_a", "file_b").alias("b")).agg(F.min("last_cochange_days").alias("cochange_days"))
+    e = _typed(spark, d).withColumns({"a": F.least("src", "dst"), "b": F.greatest("src", "dst")}).join(days, ["graph_id", "a", "b"], "left")
+    e = e.select("graph_id", "src", "dst", "kind", F.lit(None).cast("double").alias("confidence"), "cochange_days", F.lit(None).cast("double").alias("prior"))
+    own = _symbols(spark, d).groupBy("graph_id", F.col("file_path").alias("node")).agg(F.max(F.when(~F.isnan("authority"), F.col("authority"))).alias("authority"))
+    return I.flow_weights(e, own).withColumn("weight", F.round("weight", 9))
+
+
+@query(f"""WITH {_SYM}, te AS (SELECT DISTINCT graph_id, src, dst, {_KINDS} kind FROM named), p AS (SELECT graph_id, src, dst, CASE kind WHEN 'calls' THEN 0.7::DOUBLE WHEN 'extends' THEN 0.8 WHEN 'implements' THEN 0.6 ELSE 0.3 END w FROM te)
+  SELECT graph_id, src, dst, round(sum(w), 6) AS weight FROM (FROM p UNION ALL SELECT graph_id, dst, src, w * 0.7::DOUBLE FROM p) GROUP BY ALL""")
+def propagation_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Typed import edges both ways, as scores spread along them."""
+    return I.both_ways(_typed(spark, d).withColumn("confidence", F.lit(1.0))).withColumn("weight", F.round("weight", 6))
+
+
+@query()
+def propagated(spark: SparkSession, d: str) -> DataFrame:
+    """Scores spread both ways over typed imports from the first file of each repository."""
+    e = _typed(spark, d).withColumn("confidence", F.lit(1.0))
+    first = e.groupBy("graph_id").agg(F.min("src").alias("node")).withColumn("value", F.lit(1.0))
+    return I.propagate(e, first).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT path, substr(sha256(path), 1, 16) AS sha FROM files WHERE path IS NOT NULL GROUP BY ALL")
+def path_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """Short digests of all paths."""
+    return t(spark, d, "files").where("path IS NOT NULL").select("path").distinct().select("path", short_sha(F.col("path")).alias("sha"))
+
+
+@query("""WITH RECURSIVE p AS (SELECT DISTINCT path FROM files WHERE path IS NOT NULL AND length(path) <= 60), h(path, i, h) AS (SELECT path, 0, 0::BIGINT FROM p UNION ALL SELECT path, i + 1, (h * 31 + ascii(path[i + 1])) & 4294967295 FROM h WHERE i < length(path)) SELECT path, h AS hash FROM h WHERE i = length(path)""")
+def rolling_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """The 31-hash of every path of up to sixty characters."""
+    return t(spark, d, "files").where("length(path) <= 60").select("path").distinct().select("path", rolling31(F.col("path")).alias("hash"))
+
+
+_BETWEEN = f"""WITH RECURSIVE {_SYM}, n AS (SELECT graph_id, src id FROM e UNION SELECT graph_id, dst FROM e), walk(g, s, t, far, n) AS (SELECT graph_id, id, id, 0, 1::DOUBLE FROM n UNION ALL SELECT g, s, dst, far + 1, sum(walk.n)::DOUBLE FROM walk JOIN e ON e.graph_id = g AND src = t WHERE far < 30 GROUP BY g, s, dst, far + 1),
+ near AS (SELECT g, s, t, min(far) far FROM walk GROUP BY ALL), sp AS (SELECT walk.* FROM walk JOIN near USING (g, s, t, far)),
+ raw AS (SELECT a.g, a.t v, sum(a.n * b.n / c.n) b FROM sp a JOIN sp b ON b.g = a.g AND b.s = a.t JOIN sp c ON c.g = a.g AND c.s = a.s AND c.t = b.t AND c.far = a.far + b.far WHERE a.t <> a.s AND b.t <> a.t AND b.t <> a.s GROUP BY ALL)
+ SELECT n.graph_id, id AS node, round(coalesce(b / max(b) OVER (PARTITION BY n.graph_id), 0), 6) betweenness FROM n LEFT JOIN raw ON g = n.graph_id AND v = id"""
+
+
+@query(_BETWEEN)
+def import_betweenness(spark: SparkSession, d: str) -> DataFrame:
+    """Betweenness of files in their repository's import graph, all sources."""
+    return G.betweenness_by_source(import_graph(spark, d)).withColumn("betweenness", F.round("betweenness", 6))
+
+
+@query()
+def sampled_betweenness(spark: SparkSession, d: str) -> DataFrame:
+    """The same from sampled sources, stratified by folder; graphs of up to fifty files are exact."""
+    e = import_graph(spark, d)
+    folder = e.select("graph_id", F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("community", directory(F.col("node")))
+    return G.betweenness_sampled(e, folder).withColumn("betweenness", F.round("betweenness", 6))

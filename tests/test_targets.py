@@ -113,3 +113,60 @@ def test_limits_are_counted_before_a_task_starts(spark, monkeypatch):
     monkeypatch.setattr(G, "MOST_EDGES", 1)
     with pytest.raises(ValueError, match="edges"):
         G.betweenness_by_source(e)
+
+
+def test_sampled_sources_are_all_or_a_stratified_share(spark):
+    ring = [("big", f"n{i:03d}", f"n{(i + 1) % 400:03d}", 1.0) for i in range(400)] + [("small", "a", "b", 1.0), ("small", "b", "c", 1.0)]
+    e = spark.createDataFrame(ring, EDGES)
+    kinds = e.select("graph_id", F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("community", F.when(F.col("node") < "n100", 1).when(F.col("node") < "n390", 2))
+    got = G.sample_sources(e, kinds).join(kinds, ["graph_id", "node"]).groupBy("graph_id", "community").count().collect()
+    assert {(r.graph_id, r.community): r["count"] for r in got} == {("big", 1): 13, ("big", 2): 37, ("big", None): 2, ("small", 1): 3} or sum(r["count"] for r in got if r.graph_id == "small") == 3
+    assert 50 <= sum(r["count"] for r in got if r.graph_id == "big") <= 53 and len([r for r in got if r.graph_id == "big"]) == 3
+    exact = {r.node: r.betweenness for r in G.betweenness(e.where("graph_id = 'small'")).collect()}
+    assert {r.node: r.betweenness for r in G.betweenness_sampled(e.where("graph_id = 'small'")).collect()} == exact
+
+
+def test_hashes(spark):
+    from sparkloom.functions.hashes import rolling31, short_sha, xorshift32
+
+    df = spark.createDataFrame([("abc", 1), ("", 0), (None, 5)], "t string, n int").withColumn("x", xorshift32(F.col("n")))
+    got = df.select(rolling31(F.col("t")).alias("h"), short_sha(F.col("t")).alias("s"), "x").collect()
+    assert [r.h for r in got] == [96354, 0, 0] and got[0].s == "ba7816bf8f01cfea" and got[2].s is None
+    assert [r.x for r in got] == [270369, 270369, 1351845]
+
+
+def test_import_order(spark):
+    texts = {
+        "sorted": "// head\nimport a from 'alpha';\nimport { b } from 'beta';\n\nimport c from './c';\nconst x = 1;\nimport z from 'zeta';",
+        "mixed": "import b from 'beta';\nimport a from 'alpha';\nimport c from './c';",
+        "relative": "import c from './c';\nimport 'side';\nimport b from '@/b';",
+        "builtin": "import fs from 'node:fs';\n\nimport a from 'alpha';\nimport b from 'beta';",
+        "few": "import a from 'a';", "none": None,
+    }
+    from sparkloom.operators import extraction as X
+
+    got = {r.path: (r.ordering, r.alphabetical, r.builtins_apart) for r in X.import_order(spark.createDataFrame(list(texts.items()), "path string, text string")).collect()}
+    assert got == {
+        "sorted": ("external-first, blank-line separated", True, False), "mixed": ("external-first", False, False), "relative": (None, True, False),
+        "builtin": ("external-first, blank-line separated", True, True), "few": (None, False, False), "none": (None, False, False),
+    }
+
+
+def test_signatures_and_pipeline(spark):
+    from sparkloom.operators import extraction as X
+
+    files = spark.createDataFrame([("a.ts", "typescript", "export function alpha(x: {a: number},\n  y = 2): number {\n  return beta(x);\n}\n"), ("b.py", "python", "def gamma(x: int) -> int:\n    return x\n"), ("c.ts", "typescript", None), ("d.xx", None, "x")], "path string, language string, text string")
+    got = {r.name: (r.signature, r.is_exported) for r in X.signatures(files).collect()}
+    assert got == {"alpha": ("export function alpha(x: {a: number}, y = 2): number", True), "gamma": ("def gamma(x: int) -> int", True)}
+    symbols = spark.createDataFrame([("a/x.ts", "f", "function"), ("a/y.ts", "g", "function"), ("b/z.ts", "g", "function"), ("a/x.ts", "h", "function")], "path string, name string, kind string")
+    imports = spark.createDataFrame([("a/x.ts", "a/y.ts", ["g"])], "path string, target string, names array<string>")
+    calls = spark.createDataFrame([("a/x.ts", "f", "h", None, 1, False), ("a/x.ts", "f", "g", None, 2, False), ("a/w.ts", "m", "g", None, 3, False), ("a/w.ts", "m", "nothing", None, 4, False)], "path string, caller string, callee string, object string, line int, is_new boolean")
+    edges = {(r.src, r.callee): (r.dst, r.tier) for r in X.symbol_pipeline(calls, symbols, imports).collect()}
+    assert edges[("a/x.ts", "h")] == ("a/x.ts", 1) and edges[("a/x.ts", "g")] == ("a/y.ts", 2) and edges[("a/w.ts", "g")] == ("a/y.ts", 5) and ("a/w.ts", "nothing") not in edges
+
+
+def test_both_ways_pass_on_less_backwards_and_for_guesses(spark):
+    e = spark.createDataFrame([("g", "a", "b", "calls", 1.0), ("g", "b", "c", "di_inject", 0.5), ("g", "c", None, "calls", 1.0)], "graph_id string, src string, dst string, kind string, confidence double")
+    got = {(r.src, r.dst): r.weight for r in I.both_ways(e).collect()}
+    assert got == pytest.approx({("a", "b"): 0.7, ("b", "a"): 0.49, ("b", "c"): 0.21, ("c", "b"): 0.147})
+    assert {r.node for r in I.propagate(e, {"c": 1.0}).collect()} == {"a", "b", "c"}
