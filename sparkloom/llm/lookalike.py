@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import durable, join_stats, positions, ship
+from ..shared import durable, join_stats, ship
 from .bpe import TOKENIZERS, VOCABULARY
 from .cooccur import CHUNK, chunk_products
 
@@ -262,14 +262,15 @@ def lookalike_pairs(texts: DataFrame, key: str, text: str, folder: str = TOKENIZ
     """(a, b), a < b: keys of every two rows whose texts differ as strings but have one canonical form.
 
     The links of lookalike_classes one by one, for those who need the pairs themselves. Spellings of a look, not rows, are
-    paired: they are numbered, cut into pieces, and the products of pieces are dealt out over tasks, as large baskets
+    paired: they are dealt into pieces by hash, and the products of pieces are dealt out over tasks, as large baskets
     are. The rows of a spelling are attached with hot spellings salted; copies of one text are never paired.
     """
     rows = durable(looks(texts, key, text, folder))
     mixed = _spelled_alike(rows, key)
-    numbered = positions(mixed.select("look", "raw", "n", "spellings"), ["look"], [F.col("raw")], "place")
-    place = numbered.withColumn("i", F.floor(F.col("place") / CHUNK).cast("int")).withColumn("m", F.ceil(F.col("spellings") / CHUNK).cast("int"))
-    pieces = durable(place.groupBy("look", "i", "m").agg(F.array_sort(F.collect_list(F.struct("raw", "n"))).alias("chunk")))  # at most CHUNK spellings each
+    # pieces by hash: half of CHUNK spellings on average, so that hardly any piece has more than CHUNK
+    m = F.ceil(F.col("spellings") * 2 / CHUNK).cast("int")
+    place = mixed.select("look", "raw", "n", F.when(F.col("spellings") <= CHUNK, 1).otherwise(m).alias("m")).withColumn("i", F.pmod(F.xxhash64("raw"), F.col("m")).cast("int"))
+    pieces = durable(place.groupBy("look", "i", "m").agg(F.array_sort(F.collect_list(F.struct("raw", "n"))).alias("chunk")))
     crossed = chunk_products(pieces, ["look"]).select(F.explode("left").alias("x"), "right").select("x", F.explode("right").alias("y"))
     inside = pieces.select(F.explode("chunk").alias("x"), "chunk").select("x", F.explode("chunk").alias("y")).where("x.raw < y.raw")
     ordered = durable(crossed.unionByName(inside).select(F.col("x.raw").alias("raw"), F.col("y.raw").alias("partner"), F.col("x.n").alias("n"), F.col("y.n").alias("n_partner")))
