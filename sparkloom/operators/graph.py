@@ -31,8 +31,13 @@ TYPE_ONLY, DYNAMIC, BARREL, LEAST_SPECIFIC, SPECIFIC_BASE, STAR_NAMES = 0.7, 0.5
 
 
 def bounded(rows: DataFrame, keys: list[str], most: int, what: str) -> DataFrame:
-    """``rows`` as a durable table, after counting that no group of ``keys`` has more than ``most`` of them; else an error, before any group is formed."""
+    """``rows`` as a durable table, after counting that no group of ``keys`` has more than ``most`` of them; else an error, before any group is formed.
+
+    Where the whole table has no more, its file footers tell so, and nothing is grouped for the check.
+    """
     kept = durable(rows)
+    if kept.count() <= most:
+        return kept
     worst = kept.groupBy(*keys).agg(F.count("*").alias("n")).orderBy(F.col("n").desc()).first()
     if worst is not None and worst.n > most:
         raise ValueError(f"{worst.n} {what} in group {[worst[k] for k in keys]}, a task takes {most}; use the relational form for large groups")
@@ -50,7 +55,7 @@ def per_graph(edges: DataFrame, f: Callable[..., Iterator[tuple]], columns: str,
     names = [c.split()[0] for c in columns.split(",")]
     compact = real(edges).groupBy("graph_id", "src", "dst").agg(F.sum("weight").alias("weight")) if "weight" in edges.columns else real(edges).select("graph_id", "src", "dst").distinct().withColumn("weight", F.lit(1.0))
     compact = bounded(compact, ["graph_id"], MOST_EDGES, "edges")
-    if most_nodes is not None:
+    if most_nodes is not None and 2 * compact.count() > most_nodes:
         bounded(compact.select("graph_id", F.explode(F.array("src", "dst")).alias("node")).distinct(), ["graph_id"], most_nodes, "nodes")
 
     def run(pdf: pd.DataFrame, *values: dict) -> pd.DataFrame:

@@ -5,6 +5,7 @@ A walk of fixed depth is unrolled into joins; each hop is deduplicated, so a hop
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 from ..shared import discard, durable
 from .edges import TEST_FILE, real
 
+#: Contracted edges, over all graphs, from which on components are finished in one task a graph.
+FINISH = 2_000_000
+
 
 def closure(edges: DataFrame, starts: DataFrame | None = None, depth: int = 5, backwards: bool = False, keep_all: bool = True) -> DataFrame:
     """(graph_id, start, node, depth): nodes reached within ``depth`` hops from each start (by default every node).
@@ -57,26 +61,50 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(graph_id, node, component): weakly connected components, named by their least node.
 
     Every round hooks each component to its least neighbouring component if that is less, follows these hooks to their
-    ends by pointer doubling, and contracts the edges to the new components. It ends when no edge between two components
-    is left, so nothing is cut off; a round joins every component that has a lesser neighbour. Edges to nodes outside
-    ``nodes`` count for nothing. Only the contracted edges, the hooks and one label per node are kept between rounds, in
-    the shared folder.
+    ends by pointer doubling, and contracts the edges to the new components; a round joins every component that has a
+    lesser neighbour. Once all contracted edges together are no more than FINISH, which their count shows, each graph's rest
+    is united in one task; it ends when no edge between two components is left, so nothing is cut off. Edges to nodes
+    outside ``nodes`` count for nothing. Only the contracted edges, the hooks and one label per node are kept between
+    rounds, in the shared folder.
     """
     label = durable(nodes.select("graph_id", "node").dropna().distinct().withColumn("component", F.col("node")))
     of = lambda end: label.select("graph_id", F.col("node").alias(end))
     e = real(edges).select("graph_id", "src", "dst").where("src <> dst").distinct().join(of("src"), ["graph_id", "src"], "left_semi").join(of("dst"), ["graph_id", "dst"], "left_semi")
-    links = durable(e.select("graph_id", "src", "dst").unionByName(e.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    while not links.isEmpty():
+    links = durable(e.select("graph_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    while n := links.count():
+        if n <= FINISH:
+            return _relabel(label, links.groupBy("graph_id").applyInPandas(_united, f"graph_id {label.schema['graph_id'].dataType.simpleString()}, component {label.schema['node'].dataType.simpleString()}, to {label.schema['node'].dataType.simpleString()}"))
         before = (label, links)
-        root = _ends(durable(links.groupBy("graph_id", "src").agg(F.min("dst").alias("to")).where("to < src").withColumnRenamed("src", "component")))
-        label = durable(label.join(root, ["graph_id", "component"], "left").select("graph_id", "node", F.coalesce("to", "component").alias("component")))
+        root = _ends(durable(links.groupBy("graph_id", F.col("dst").alias("component")).agg(F.min("src").alias("to"))))
+        label = durable(_relabel(label, root))
         for end in ("src", "dst"):
             links = links.join(root.withColumnRenamed("component", end), ["graph_id", end], "left").withColumn(end, F.coalesce("to", end)).drop("to")
-        links = durable(links.where("src <> dst").select("graph_id", "src", "dst").distinct())
+        links = durable(links.where("src <> dst").select("graph_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
         discard(*before, root)
     return label
 
 
+def _relabel(label: DataFrame, root: DataFrame) -> DataFrame:
+    return label.join(root, ["graph_id", "component"], "left").select("graph_id", "node", F.coalesce("to", "component").alias("component"))
+
+
+def _united(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(graph_id, component, to) of the components of one graph's links that are not their own least name."""
+    up: dict = {}
+
+    def top(x):
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    for a, b in zip(pdf.src.tolist(), pdf.dst.tolist(), strict=True):
+        a, b = top(a), top(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    names = sorted(up)
+    return pd.DataFrame({"graph_id": pdf.graph_id.iloc[0], "component": names, "to": [top(x) for x in names]}, dtype=object)
+
+
 def _ends(hooks: DataFrame) -> DataFrame:
     """(graph_id, component, to) with ``to`` at the end of its chain of hooks; each pass doubles what a hook spans. Every hook leads to a lesser name, so there are no cycles."""
     while True:

@@ -97,8 +97,9 @@ def test_components_closure_and_empty_graphs(spark):
     assert G.hits(none).count() == G.chokepoints(none).count() == V.closure(none).count() == E.instability(none.withColumn("is_type_only", F.lit(False))).count() == 0
 
 
-@pytest.mark.parametrize("n", [70, 200])
-def test_components_of_a_chain_whose_names_fall_away_from_the_least(spark, n):
+@pytest.mark.parametrize(("n", "finish"), [(70, 0), (200, 20), (200, 2_000_000)])
+def test_components_of_a_chain_whose_names_fall_away_from_the_least(spark, monkeypatch, n, finish):
+    monkeypatch.setattr(V, "FINISH", finish)
     name = lambda i: f"{i:04d}"
     chain = [0, *range(n - 1, 0, -1)]
     rows = [("x", name(a), name(b), 1.0) for a, b in zip(chain, chain[1:], strict=False)] + [("y", "b", "a", 1.0), ("y", "b", "gone", 1.0)]
@@ -107,7 +108,9 @@ def test_components_of_a_chain_whose_names_fall_away_from_the_least(spark, n):
     assert got == {("x", name(i)): name(0) for i in range(n)} | {("y", "a"): "a", ("y", "b"): "a", ("y", "c"): "c"}
 
 
-def test_components_equal_a_search_on_random_trees(spark):
+@pytest.mark.parametrize("finish", [0, 2_000_000])
+def test_components_equal_a_search_on_random_trees(spark, monkeypatch, finish):
+    monkeypatch.setattr(V, "FINISH", finish)
     rng = random.Random(5)
     names = {g: rng.sample(range(1000, 9999), 120) for g in "pq"}
     rows = [(g, str(v[i]), str(v[rng.randrange(max(i // 40 * 40, i - 3), i)]), 1.0) for g, v in names.items() for i in range(1, 120) if i % 40]
