@@ -14,14 +14,14 @@ from ..shared import table as t
 def trade_volumes(spark: SparkSession, d: str) -> DataFrame:
     """(src, dst, revenue, orders): supplier nation to customer nation, own nation left out.
 
-    Revenue is summed by supplier and customer before the nations are joined, so the wide join meets pre-aggregated rows.
+    Revenue is summed in whole ten-thousandths, so that no order of rows changes it, by supplier and customer before the nations are joined, so the wide join meets pre-aggregated rows.
     """
-    line = t(spark, d, "lineitem").select("l_orderkey", "l_suppkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("r"))
+    line = t(spark, d, "lineitem").select("l_orderkey", "l_suppkey", F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 10_000).cast("bigint").alias("r"))
     orders = t(spark, d, "orders").select("o_orderkey", "o_custkey")
     by = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_suppkey", "o_custkey").agg(F.sum("r").alias("r"), F.count("*").alias("n"))
     sup = t(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("src"))
     cus = t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("dst"))
-    return by.join(sup, "l_suppkey").join(cus, "o_custkey").where("src <> dst").groupBy("src", "dst").agg(F.round(F.sum("r"), 2).alias("revenue"), F.sum("n").alias("orders"))
+    return by.join(sup, "l_suppkey").join(cus, "o_custkey").where("src <> dst").groupBy("src", "dst").agg((F.sum("r") / 10_000).alias("revenue"), F.sum("n").alias("orders"))
 
 
 def trade_graph(spark: SparkSession, d: str, top: int = 3) -> DataFrame:
@@ -33,7 +33,7 @@ def trade_graph(spark: SparkSession, d: str, top: int = 3) -> DataFrame:
 
 
 VOLUMES = """
-volumes AS (SELECT s_nationkey src, c_nationkey dst, round(sum(l_extendedprice * (1 - l_discount)), 2) revenue, count(*) orders
+volumes AS (SELECT s_nationkey src, c_nationkey dst, sum(round(l_extendedprice * (1 - l_discount) * 10000)::BIGINT) / 10000 revenue, count(*) orders
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey WHERE s_nationkey <> c_nationkey GROUP BY ALL)"""
 TRADE = (
     VOLUMES

@@ -52,13 +52,13 @@ def snapshot_delta(spark: SparkSession, d: str) -> DataFrame:
     return M.delta(*_slices(spark, d))
 
 
-@query("WITH s AS (SELECT o_custkey k, o_orderdate < '1995-01-01' early, o_totalprice p FROM orders), a AS (SELECT k, avg(p) FILTER (WHERE early) v FROM s GROUP BY 1), b AS (SELECT k, avg(p) v FROM s GROUP BY 1) SELECT k, round(coalesce(a.v, 0), 2) before, round(coalesce(b.v, 0), 2) AS after, round(coalesce(b.v, 0) - coalesce(a.v, 0), 2) AS change FROM a FULL JOIN b USING (k) WHERE abs(coalesce(b.v, 0) - coalesce(a.v, 0)) > 0.01")
+@query("WITH s AS (SELECT o_custkey k, o_orderdate < '1995-01-01' early, round(o_totalprice * 100)::BIGINT p FROM orders), a AS (SELECT k, sum(p)::DOUBLE / count(*) / 100 v FROM s WHERE early GROUP BY 1), b AS (SELECT k, sum(p)::DOUBLE / count(*) / 100 v FROM s GROUP BY 1) SELECT k, coalesce(a.v, 0) before, coalesce(b.v, 0) AS after, coalesce(b.v, 0) - coalesce(a.v, 0) AS change FROM a FULL JOIN b USING (k) WHERE abs(coalesce(b.v, 0) - coalesce(a.v, 0)) > 0.01")
 def drift(spark: SparkSession, d: str) -> DataFrame:
     """Customers whose mean order value moved between two slices."""
     o = t(spark, d, "orders")
-    mean = lambda x: x.groupBy(F.col("o_custkey").alias("k")).agg(F.avg("o_totalprice").alias("v"))
-    x = M.drift(mean(o.where(F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp"))), mean(o), "k", "v")
-    return x.withColumns({c: F.round(c, 2) for c in ("before", "after", "change")})
+    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")  # whole numbers, so that no order of rows changes a mean
+    mean = lambda x: x.groupBy(F.col("o_custkey").alias("k")).agg((F.sum(cents) / F.count("*") / 100).alias("v"))
+    return M.drift(mean(o.where(F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp"))), mean(o), "k", "v")
 
 
 @query("WITH x AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE floor(epoch(ts))::BIGINT + event_id END expires_at, (SELECT floor(epoch(max(ts)))::BIGINT FROM events) now FROM events) SELECT event_id, expires_at FROM x WHERE expires_at IS NULL OR expires_at > now")
