@@ -106,7 +106,7 @@ class SpellingTrie:
     def __init__(self, words: Iterable[str]) -> None:
         self.root: dict = {}
         for w in words:
-            node, look = self.root, "".join(_labels(w))
+            node, look = self.root, w if w.isascii() else "".join(_labels(w))
             for c in look:
                 node = node.setdefault(c, {})
             node.setdefault("", look if look.isascii() else unicodedata.normalize("NFC", w))
