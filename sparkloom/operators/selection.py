@@ -1,12 +1,19 @@
-"""Choosing within a budget: greedy cover, knapsack and sections. One group is one task, of up to MOST_CANDIDATES rows; that is counted before."""
+"""Choosing within a budget: greedy cover, knapsack and sections.
+
+Greedy cover and knapsack take one group in one task, of up to MOST_CANDIDATES rows; that is counted before. Sections take groups of any size.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import ship
+from ..shared import durable, ship
 from .graph import bounded
 
 #: Token budget, decay and hops of coverage, least gain, snapshot factors, characters a token.
@@ -23,6 +30,42 @@ def token_estimate(text: Column) -> Column:
     return F.coalesce(F.ceil(n / F.when(symbols > DENSE_SYMBOLS * n, CHARS_DENSE).otherwise(CHARS_PLAIN)), F.lit(0))
 
 
+def _passing(batches: Iterator[pa.RecordBatch], budget: int, whole: bool) -> Iterator[pa.RecordBatch]:
+    """The rows of each group, in order, that fit what is left. Of a part of a group, those that may fit whatever stands between them.
+
+    For a part there is only an upper bound of what is left. A row of n tokens leaves bound - n where it is taken, and is not taken only
+    where less than n is left, so max(bound - n, n - 1) is the next bound. It falls with each row that passes: of a group no more rows
+    pass than the budget has tokens.
+    """
+    begun, group, left = False, None, budget
+    for batch in batches:
+        passes = []
+        for g, n, spent in zip(*[batch.column(c).to_pylist() for c in ("group", "tokens", "__spent")], strict=True):
+            if not begun or g != group:
+                begun, group, left = True, g, budget
+            fits = spent or n <= left
+            if fits:
+                left = left - n if whole else max(left - n, n - 1)
+            passes.append(fits)
+        yield batch.filter(pa.array(passes, pa.bool_()))
+
+
+def fitting(rows: DataFrame, order: list[Column], budget: int, spent: DataFrame | None = None) -> DataFrame:
+    """(__id) of the rows with tokens that fit when the rows of each group are taken in a total ``order`` while there is room.
+
+    ``rows``: group, __id, tokens and the columns of the order; ``spent``: (group, tokens) taken from the budget before them.
+    Each partition leaves out rows that cannot fit whatever the others hold, and only the rest, per group and partition no more rows than
+    the budget has tokens, meets in a task, which reads it as a sorted stream. So a group may have any size.
+    """
+    ship(rows.sparkSession)
+    x = rows.where(F.col("tokens").between(1, budget)).withColumn("tokens", F.col("tokens").cast("bigint")).withColumn("__spent", F.lit(False))
+    part = x.sortWithinPartitions("group", *order).mapInArrow(partial(_passing, budget=budget, whole=False), x.schema)
+    if spent is not None:
+        part = part.unionByName(spent.select("group", F.col("tokens").cast("bigint").alias("tokens"), F.lit(True).alias("__spent")), allowMissingColumns=True)
+    one = part.repartition("group").sortWithinPartitions("group", F.col("__spent").desc(), *order)
+    return one.mapInArrow(partial(_passing, budget=budget, whole=True), part.schema).where("NOT __spent").select("__id")
+
+
 def greedy_cover(near: DataFrame, costs: DataFrame, budget: int = TOKENS) -> DataFrame:
     """(group, place, item, cost, gain): items by gain over cost until the budget is full or a ratio falls under 5 % of the first.
 
@@ -80,16 +123,16 @@ def knapsack(items: DataFrame, budget: int) -> DataFrame:
 
 
 def sections(rows: DataFrame, budget: int) -> DataFrame:
-    """Sections of priority 0 to 2 always, others in order of priority while they fit; rows: group, section, priority, tokens."""
-    ship(rows.sparkSession)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["priority", "section"])
-        left, keep = budget, []
-        for p, n in zip(pdf.priority, pdf.tokens, strict=True):
-            fits = p <= 2 or n <= left
-            left -= n if fits else 0
-            keep.append(bool(fits))
-        return pdf.assign(kept=keep)[["group", "section", "priority", "tokens", "kept"]]
-
-    return bounded(rows, ["group"], MOST_CANDIDATES, "sections").groupBy("group").applyInPandas(run, "`group` string, section string, priority int, tokens int, kept boolean")
+    """Sections of priority 0 to 2 always, others in order of priority while they fit; rows: group, section, priority, tokens (0 or more)."""
+    columns = [F.col(c).cast(k).alias(c) for c, k in (("group", "string"), ("section", "string"), ("priority", "int"), ("tokens", "int"))]
+    known = durable(rows.select(*columns, F.monotonically_increasing_id().alias("__id")))
+    must = F.coalesce(F.col("priority") <= 2, F.lit(False))
+    always = known.where(must).groupBy("group").agg(F.sum("tokens").alias("tokens"))
+    others = known.where(~must)
+    fits = fitting(others, [F.col("priority").asc_nulls_last(), F.col("section").asc_nulls_last(), F.col("__id")], budget, always)
+    # a section without tokens takes no room, but is left out where those of priority 0 to 2 take more than there is
+    full = always.where(F.col("tokens") > budget).select(F.col("group").alias("__full"))
+    lost = others.where("tokens = 0").join(full, F.col("group").eqNullSafe(F.col("__full")), "left_semi")
+    marks = durable(fits.select("__id", F.lit(True).alias("kept")).unionByName(lost.select("__id", F.lit(False).alias("kept"))))
+    kept = F.coalesce("kept", must | (F.lit(budget >= 0) & (F.col("tokens") == 0)), F.lit(False))
+    return known.join(marks, "__id", "left").select("group", "section", "priority", "tokens", kept.alias("kept"))

@@ -250,6 +250,37 @@ def test_budgets(spark):
     assert [r.item for r in S.greedy_cover(near, cost, 30).collect()] == ["a"]
 
 
+def _taken(rows, budget):
+    """Ids of the (id, must, tokens), in their order, that a plain loop takes."""
+    left, out = budget, set()
+    for i, must, n in rows:
+        if must or n <= left:
+            left -= n
+            out.add(i)
+    return out
+
+
+def test_sections_of_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(S, "MOST_CANDIDATES", 10)
+    rnd = random.Random(5)
+    # g0 has sections that are always taken, in g1 they take more than there is, g3 is the group without a name
+    first = {"g0": [0, 1, 2, 3, None], "g1": [1, 5], "g2": [3, 4], None: [3]}
+    rows = [(g, f"{i:05d}", rnd.choice(p), rnd.choice([0, 1, 7, 30, 200, rnd.randint(1, 900)])) for i in range(3000) for g, p in first.items()]
+    rows = [(g, s, 9 if g == "g0" and p in (0, 1, 2) and i % 160 else p, n) for i, (g, s, p, n) in enumerate(rows)]
+    want = set()
+    for g in first:
+        mine = sorted((r for r in rows if r[0] == g), key=lambda r: (r[2] is None, r[2] or 0, r[1]))
+        want |= {(g, s) for s in _taken([(s, p is not None and p <= 2, n) for _, s, p, n in mine], 20_000)}
+    rnd.shuffle(rows)
+    got = S.sections(spark.createDataFrame(rows, "`group` string, section string, priority int, tokens int").repartition(7), 20_000)
+    assert got.dtypes == [("group", "string"), ("section", "string"), ("priority", "int"), ("tokens", "int"), ("kept", "boolean")]
+    got = got.collect()
+    assert sorted(map(str, rows)) == sorted(str((r.group, r.section, r.priority, r.tokens)) for r in got)
+    assert {(r.group, r.section) for r in got if r.kept} == want
+    zero = {g: {r.kept for r in got if r.group == g and r.tokens == 0 and (r.priority is None or r.priority > 2)} for g in first}
+    assert zero == {"g0": {True}, "g1": {False}, "g2": {True}, None: {True}}
+
+
 def test_barrels_and_exports(spark):
     e = spark.createDataFrame([("g", "m", "index", "a"), ("g", "m", "index", "b"), ("g", "m", "own", "c")], "graph_id string, src string, dst string, name string")
     re = spark.createDataFrame([("g", "index", "a", "real")], "graph_id string, node string, name string, target string")
