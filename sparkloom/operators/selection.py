@@ -1,6 +1,6 @@
 """Choosing within a budget: greedy cover, knapsack and sections.
 
-Greedy cover and knapsack take one group in one task, of up to MOST_CANDIDATES rows; that is counted before. Sections take groups of any size.
+Greedy cover takes one group in one task, of up to MOST_CANDIDATES rows; that is counted before. Knapsack and sections take groups of any size.
 """
 
 from __future__ import annotations
@@ -103,23 +103,16 @@ def knapsack(items: DataFrame, budget: int) -> DataFrame:
 
     ``items``: group, item, file, centrality, is_type, uses, tokens. value = centrality · 1.3 for types · (1 + .15 log2(uses + 1)).
     """
-    ship(items.sparkSession)
     value = F.col("centrality") * F.when(F.col("is_type"), TYPE_FACTOR).otherwise(1.0) * (1 + COUNT_FACTOR * F.log2(F.col("uses") + 1))
-    x = items.where("tokens > 0").withColumn("value", value)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(ratio=pdf.value / pdf.tokens).sort_values(["ratio", "item"], ascending=[False, True])
-        again = pdf.duplicated("file")
-        pdf["ratio"] = pdf.ratio * again.map({True: SECOND_OF_FILE, False: 1.0})
-        pdf = pdf.sort_values(["ratio", "item"], ascending=[False, True])
-        left, state = budget, []
-        for n in pdf.tokens:
-            fits = n <= left
-            left -= n if fits else 0
-            state.append("kept" if fits else "deferred")
-        return pdf.assign(state=state)[["group", "item", "file", "tokens", "state"]]
-
-    return bounded(x, ["group"], MOST_CANDIDATES, "candidates").groupBy("group").applyInPandas(run, "`group` string, item string, file string, tokens int, state string")
+    columns = [F.col(c).cast(k).alias(c) for c, k in (("group", "string"), ("item", "string"), ("file", "string"), ("tokens", "int"))]
+    ratio = F.nanvl(value / F.col("tokens"), F.lit(None))
+    known = durable(items.where("tokens > 0").select(*columns, ratio.alias("ratio"), F.monotonically_increasing_id().alias("__id")))
+    # the first of each file by an aggregate, and its mark by row, so that neither meets a file of many items in one task
+    order = F.struct(F.col("ratio").isNull(), -F.col("ratio"), F.col("item").isNull(), "item", "__id")
+    first = known.groupBy("group", "file").agg(F.min_by("__id", order).alias("__id")).select("__id", F.lit(1.0).alias("factor"))
+    rated = known.drop("file").join(first, "__id", "left").withColumn("ratio", F.col("ratio") * F.coalesce("factor", F.lit(SECOND_OF_FILE))).drop("factor")
+    fits = durable(fitting(rated, [F.col("ratio").desc_nulls_last(), F.col("item").asc_nulls_last(), F.col("__id")], budget).withColumn("state", F.lit("kept")))
+    return known.join(fits, "__id", "left").select("group", "item", "file", "tokens", F.coalesce("state", F.lit("deferred")).alias("state"))
 
 
 def sections(rows: DataFrame, budget: int) -> DataFrame:

@@ -281,6 +281,32 @@ def test_sections_of_large_groups(spark, monkeypatch):
     assert zero == {"g0": {True}, "g1": {False}, "g2": {True}, None: {True}}
 
 
+def test_knapsack_of_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(S, "MOST_CANDIDATES", 10)
+    rnd = random.Random(6)
+    # one file of g0 holds most items, values repeat, some are negative, lacking or no numbers
+    rows = [(g, f"{i:05d}", rnd.choice(files), rnd.choice([None, float("nan"), -1.0, -0.0, 0.0, 0.5, 2.0, rnd.random()]), rnd.choice([True, False, None]), rnd.choice([1, 3]), rnd.choice([0, None, 10, 12, 40, rnd.randint(1, 3000)]))
+            for i in range(2000) for g, files in (("g0", ["a"] * 20 + ["b", None]), ("g1", [f"{i % 500}"]), (None, ["c", "d"]))]
+    want = set()
+    for g in ("g0", "g1", None):
+        ratio = {r[1]: (r[3] if r[3] is not None else float("nan")) * (1.3 if r[4] else 1.0) * (1 + 0.15 * (1 if r[5] == 1 else 2)) / r[6] for r in rows if r[0] == g and r[6]}
+        place = lambda i: (ratio[i] != ratio[i], -ratio[i] if ratio[i] == ratio[i] else 0, i)
+        file_of, tokens = {r[1]: r[2] for r in rows if r[0] == g}, {r[1]: r[6] for r in rows if r[0] == g}
+        seen = set()
+        for i in sorted(ratio, key=place):
+            if file_of[i] in seen:
+                ratio[i] *= 0.5
+            seen.add(file_of[i])
+        want |= {(g, i) for i in _taken([(i, False, tokens[i]) for i in sorted(ratio, key=place)], 4000)}
+    rnd.shuffle(rows)
+    items = spark.createDataFrame(rows, "`group` string, item string, file string, centrality double, is_type boolean, uses int, tokens int").repartition(7)
+    got = S.knapsack(items, 4000)
+    assert got.dtypes == [("group", "string"), ("item", "string"), ("file", "string"), ("tokens", "int"), ("state", "string")]
+    got = got.collect()
+    assert sorted(str((r[0], r[1], r[2], r[6])) for r in rows if r[6]) == sorted(str((r.group, r.item, r.file, r.tokens)) for r in got)
+    assert {(r.group, r.item) for r in got if r.state == "kept"} == want and {r.state for r in got} == {"kept", "deferred"}
+
+
 def test_barrels_and_exports(spark):
     e = spark.createDataFrame([("g", "m", "index", "a"), ("g", "m", "index", "b"), ("g", "m", "own", "c")], "graph_id string, src string, dst string, name string")
     re = spark.createDataFrame([("g", "index", "a", "real")], "graph_id string, node string, name string, target string")
