@@ -116,11 +116,14 @@ def knapsack(items: DataFrame, budget: int) -> DataFrame:
 
 
 def sections(rows: DataFrame, budget: int) -> DataFrame:
-    """Sections of priority 0 to 2 always, others in order of priority while they fit; rows: group, section, priority, tokens (0 or more)."""
+    """Sections of priority 0 to 2 always, others in order of priority while they fit; rows: group, section, priority, tokens (0 or more).
+
+    Those without known tokens take no room where they are always kept, and are left out elsewhere.
+    """
     columns = [F.col(c).cast(k).alias(c) for c, k in (("group", "string"), ("section", "string"), ("priority", "int"), ("tokens", "int"))]
     known = durable(rows.select(*columns, F.monotonically_increasing_id().alias("__id")))
     must = F.coalesce(F.col("priority") <= 2, F.lit(False))
-    always = known.where(must).groupBy("group").agg(F.sum("tokens").alias("tokens"))
+    always = known.where(must).groupBy("group").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
     others = known.where(~must)
     fits = fitting(others, [F.col("priority").asc_nulls_last(), F.col("section").asc_nulls_last(), F.col("__id")], budget, always)
     # a section without tokens takes no room, but is left out where those of priority 0 to 2 take more than there is

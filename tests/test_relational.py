@@ -281,6 +281,19 @@ def test_sections_of_large_groups(spark, monkeypatch):
     assert zero == {"g0": {True}, "g1": {False}, "g2": {True}, None: {True}}
 
 
+def test_budgets_of_odd_rows(spark):
+    kinds = "`group` string, section string, priority int, tokens int"
+    rows = [("g", "a", 0, None), ("g", "b", 3, None), ("g", "c", 3, 30), ("g", "d", 4, 1), ("h", "a", 3, 0), ("h", "b", 3, 31), ("i", "a", 2, 31), ("i", "b", 3, 0)]
+    kept = lambda budget: {(r.group, r.section) for r in S.sections(spark.createDataFrame(rows, kinds), budget).collect() if r.kept}
+    assert kept(30) == {("g", "a"), ("g", "c"), ("h", "a"), ("i", "a")}
+    assert kept(0) == {("g", "a"), ("h", "a"), ("i", "a")}
+    assert S.sections(spark.createDataFrame([], kinds), 30).count() == 0
+    kinds = "`group` string, item string, file string, centrality double, is_type boolean, uses int, tokens int"
+    assert S.knapsack(spark.createDataFrame([], kinds), 30).count() == 0
+    items = spark.createDataFrame([("g", "a", "x", float("inf"), False, 1, 20), ("g", "b", "x", 9.0, False, 1, 11), ("g", "c", "y", 1.0, False, 1, 10)], kinds)
+    assert {r.item: r.state for r in S.knapsack(items, 30).collect()} == {"a": "kept", "b": "deferred", "c": "kept"}
+
+
 def test_knapsack_of_large_groups(spark, monkeypatch):
     monkeypatch.setattr(S, "MOST_CANDIDATES", 10)
     rnd = random.Random(6)
